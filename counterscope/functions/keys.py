@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,18 @@ def query_key(digest: str = "digest", schema: str = "schema_name") -> Column:
     return F.when(F.col(schema) != "", qualified).otherwise(F.col(digest))
 
 
-def is_empty(count: str = "count_star", timer: str = "sum_timer_wait") -> Column:
-    return (F.col(count) == 0) & (F.col(timer) == 0)
+def with_text(key: Sequence[str]) -> list[Column]:
+    """Key columns, plus the text form when the key is the digest and schema pair."""
+    text = [query_key().alias("query_key")] if "digest" in key else []
+    return [F.col(c) for c in key] + text
+
+
+# A row of a statement that has not run: the one test behind the merge and the deltas.
+IS_EMPTY = "(count_star = 0 and sum_timer_wait = 0)"
+
+
+def is_empty() -> Column:
+    return F.expr(IS_EMPTY)
 
 
 def text_contains(name: str, needle: str, case_sensitive: bool = True) -> Column:

@@ -6,11 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def latency(count: str = "count_star", timer: str = "sum_timer_wait") -> Column:
+def latency() -> Column:
     """Mean seconds per statement. Picoseconds are cut to whole nanoseconds before dividing."""
-    nanos = F.expr(f"`{timer}` div 1000")
-    return F.when(F.col(count) != 0, nanos / F.lit(1e9) / F.col(count)).otherwise(F.lit(0.0))
+    return F.expr("if(count_star != 0, (sum_timer_wait div 1000) / 1e9D / count_star, 0D)")
 
 
-def per_second(count: str = "count_star", seconds: str = "duration_s") -> Column:
-    return F.col(count).cast("double") / F.col(seconds)
+def per_second() -> Column:
+    return F.expr("cast(count_star as double) / duration_s")

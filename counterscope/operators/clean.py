@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterscope.functions.keys import is_empty, query_key, text_contains
-from counterscope.schema import COUNTERS, PERFORMANCE_SCHEMA
+from counterscope.functions.keys import IS_EMPTY, is_empty, query_key, text_contains, with_text
+from counterscope.schema import COUNTERS, KEY, PERFORMANCE_SCHEMA
 from counterscope.sources.snapshots import scan_keys, snapshot_index
 
 
@@ -37,41 +37,32 @@ def clean(
     return filter_schema(scan_keys(kept), ignore_performance_schema)
 
 
-def merged(counter: str, among: Column | None = None) -> Column:
+def merged(counter: str, among: str = "true") -> Column:
     """Value of a counter after merging duplicate rows of one key.
 
     Rows with activity are added up and idle rows ignored. When all rows are idle the last one counts; its
     two activity counters are zero by definition, so only the others need looking up. ``among`` limits the
     merge to some of the group's rows; the result is NULL when none qualify.
     """
-    chosen = F.lit(True) if among is None else among
-    busy = F.sum(F.when(chosen & ~is_empty(), F.col(counter)))
+    busy = f"sum(if({among} and not {IS_EMPTY}, {counter}, null))"
     if counter in ("count_star", "sum_timer_wait"):
-        idle = F.max(F.when(chosen, F.lit(0).cast("bigint")))
+        idle = f"max(if({among}, 0L, null))"
     else:
-        alone = chosen & is_empty()
-        idle = F.max_by(F.when(alone, F.col(counter)), F.when(alone, F.col("row_ordinal")))
-    return F.coalesce(busy, idle)
+        alone = f"{among} and {IS_EMPTY}"
+        idle = f"max_by(if({alone}, {counter}, null), if({alone}, row_ordinal, null))"
+    return F.expr(f"coalesce({busy}, {idle})")
 
 
-def dedup(keyed: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+def dedup(keyed: DataFrame, counters: Sequence[str] = COUNTERS, key: Sequence[str] = KEY) -> DataFrame:
     """One row per server, snapshot and key.
 
     The sums combine on the map side, so copies of one key, however many, shrink before the shuffle.
     """
-    rows = keyed.groupBy("server_id", "collection_seq", "digest", "schema_name").agg(
+    rows = keyed.groupBy("server_id", "collection_seq", *key).agg(
         F.max("collected_time").alias("collected_time"),
         *[merged(c).alias(c) for c in counters],
     )
-    return rows.select(
-        "server_id",
-        "collection_seq",
-        "collected_time",
-        "digest",
-        "schema_name",
-        query_key().alias("query_key"),
-        *counters,
-    )
+    return rows.select("server_id", "collection_seq", "collected_time", *with_text(key), *counters)
 
 
 def collect_clean(

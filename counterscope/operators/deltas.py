@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterscope.functions.keys import is_empty, query_key
+from counterscope.functions.keys import IS_EMPTY, with_text
 from counterscope.operators.clean import merged
 from counterscope.schema import COUNTERS, KEY
 
@@ -15,53 +15,51 @@ from counterscope.schema import COUNTERS, KEY
 # sending every 64th snapshot twice.
 SPAN = 64
 
-_UNCHECKED = 2  # counters after the first two may fall without the pair being rejected
+# The first two counters decide whether a pair is valid; the others may fall without it being rejected.
+_CHECKED = 2
 
 
 def _before(counter: str) -> str:
     return f"before_{counter}"
 
 
-def _classified(pairs: DataFrame, counters: Sequence[str], wrap_unsigned: bool = False) -> DataFrame:
+def _classified(
+    pairs: DataFrame, counters: Sequence[str], key: Sequence[str] = KEY, wrap_unsigned: bool = False
+) -> DataFrame:
     """Difference both sides of each pair and name what becomes of it.
 
     Expects the later values under the counter names, the earlier ones under ``before_*``, and
-    ``start_time``/``end_time``.
+    ``start_time``/``end_time``. ``wrap_unsigned`` reads a fallen counter as an overflow of 64 bits instead
+    of a negative difference.
     """
-    micros = F.unix_micros("end_time") - F.unix_micros("start_time")
-    fell = [F.col(c) < F.col(_before(c)) for c in counters]
-    rose = [F.col(c) > F.col(_before(c)) for c in counters]
-    outcome = (
-        F.when(is_empty(), "empty")
-        .when(micros == 0, "zero_duration")
-        .when(fell[0] | fell[1], "reset")
-        .when(rose[0] & rose[1], "kept")
-        .otherwise("no_progress")
-    )
-    negative = F.lit(False)
-    for other in fell[_UNCHECKED:]:
-        negative = negative | other
-
-    def difference(c: str) -> Column:
-        gap = F.col(c) - F.col(_before(c))
-        return F.pmod(gap.cast("decimal(21,0)"), F.lit(2**64).cast("decimal(21,0)")).cast("decimal(20,0)") if wrap_unsigned else gap
-
+    micros = "(unix_micros(end_time) - unix_micros(start_time))"
+    fell = [f"{c} < {_before(c)}" for c in counters]
+    rose = [f"{c} > {_before(c)}" for c in counters]
+    outcome = f"""
+        case when {IS_EMPTY} then 'empty'
+             when {micros} = 0 then 'zero_duration'
+             when {" or ".join(fell[:_CHECKED])} then 'reset'
+             when {" and ".join(rose[:_CHECKED])} then 'kept'
+             else 'no_progress' end"""
+    gap = "{c} - {b}"
+    if wrap_unsigned:
+        gap = f"cast(pmod(cast({gap} as decimal(21,0)), cast('{2**64}' as decimal(21,0))) as decimal(20,0))"
     return pairs.select(
         "server_id",
         "sample_seq",
         "start_time",
-        (micros / F.lit(1e6)).alias("duration_s"),
-        *KEY,
-        query_key().alias("query_key"),
-        *[difference(c).alias(c) for c in counters],
-        negative.alias("negative_counter"),
-        outcome.alias("outcome"),
+        F.expr(f"{micros} / 1e6D").alias("duration_s"),
+        *with_text(key),
+        *[F.expr(gap.format(c=c, b=_before(c))).alias(c) for c in counters],
+        F.expr(" or ".join(fell[_CHECKED:])).alias("negative_counter"),
+        F.expr(outcome).alias("outcome"),
     )
 
 
 def adjacent_pairs(
     deduped: DataFrame,
     counters: Sequence[str] = COUNTERS,
+    key: Sequence[str] = KEY,
     wrap_unsigned: bool = False,
     span: int = SPAN,
 ) -> DataFrame:
@@ -71,15 +69,14 @@ def adjacent_pairs(
     with a long history must not end up in one task, so history is cut into spans; the first snapshot of
     a span is also sent to the span before it, which makes every adjacent pair meet exactly once.
     """
-    seq = F.col("collection_seq")
-    own = F.floor(seq / span).cast("int")
-    spans = F.when(seq % span == 0, F.array(own, own - 1)).otherwise(F.array(own))
-    spread = deduped.withColumn("span", F.explode(spans))
-    # The digest leads because the sort compares a prefix of the first column.
-    history = Window.partitionBy("digest", "schema_name", "server_id", "span").orderBy("collection_seq")
+    own = f"cast(floor(collection_seq / {span}) as int)"
+    spans = f"if(collection_seq % {span} = 0, array({own}, {own} - 1), array({own}))"
+    spread = deduped.withColumn("span", F.explode(F.expr(spans)))
+    # The key leads because the sort compares a prefix of the first column.
+    history = Window.partitionBy(*key, "server_id", "span").orderBy("collection_seq")
     lagged = spread.select(
         "server_id",
-        *KEY,
+        *key,
         "collection_seq",
         F.lag("collection_seq").over(history).alias("sample_seq"),
         F.lag("collected_time").over(history).alias("start_time"),
@@ -87,7 +84,8 @@ def adjacent_pairs(
         *counters,
         *[F.lag(c).over(history).alias(_before(c)) for c in counters],
     )
-    return _classified(lagged.where(F.col("sample_seq") == seq - 1), counters, wrap_unsigned)
+    neighbours = lagged.where("sample_seq = collection_seq - 1")
+    return _classified(neighbours, counters, key, wrap_unsigned)
 
 
 def kept(pairs: DataFrame) -> DataFrame:
@@ -97,11 +95,12 @@ def kept(pairs: DataFrame) -> DataFrame:
 def deltas(
     deduped: DataFrame,
     counters: Sequence[str] = COUNTERS,
+    key: Sequence[str] = KEY,
     wrap_unsigned: bool = False,
     span: int = SPAN,
 ) -> DataFrame:
     """Samples: activity of each key between neighbouring snapshots."""
-    return kept(adjacent_pairs(deduped, counters, wrap_unsigned, span))
+    return kept(adjacent_pairs(deduped, counters, key, wrap_unsigned, span))
 
 
 def delta_rejects(pairs: DataFrame) -> DataFrame:
@@ -134,36 +133,55 @@ def deltas_join(deduped: DataFrame, counters: Sequence[str] = COUNTERS) -> DataF
     return kept(delta_of(earlier, later, counters, on=step))
 
 
-def end_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Number of the first and of the last snapshot of each server, one row each."""
+def at_ends(cleaned: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Rows of the first and of the last snapshot of each server, marked ``is_first`` and ``is_last``.
+
+    ``snapshots`` is the log that ``cleaned`` was filtered from: its ends count even if the filter emptied
+    them. The few end numbers join on server and number, so no server is a hot key.
+    """
     ends = snapshots.groupBy("server_id").agg(
         F.min("collection_seq").alias("first_seq"), F.max("collection_seq").alias("last_seq")
     )
-    sides = F.array(
-        F.struct(F.col("first_seq").alias("collection_seq"), F.lit(False).alias("is_last")),
-        F.struct(F.col("last_seq").alias("collection_seq"), F.lit(True).alias("is_last")),
+    numbers = ends.select(
+        "server_id",
+        "first_seq",
+        "last_seq",
+        F.explode(F.array_distinct(F.array("first_seq", "last_seq"))).alias("collection_seq"),
+    )
+    marked = cleaned.join(numbers, ["server_id", "collection_seq"])
+    return marked.withColumns(
+        {
+            "is_first": F.expr("collection_seq = first_seq"),
+            "is_last": F.expr("collection_seq = last_seq"),
+        }
+    ).drop("first_seq", "last_seq")
+
+
+def at_ends_of_one(cleaned: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``at_ends`` for the log of a single server.
+
+    The end numbers are scalar subqueries, which reach the file scan as literals: in a log ordered by
+    snapshot the row groups in between are skipped.
+    """
+    seq = F.col("collection_seq")
+    first = snapshots.agg(F.min("collection_seq")).scalar()
+    last = snapshots.agg(F.max("collection_seq")).scalar()
+    return cleaned.where((seq == first) | (seq == last)).withColumns(
+        {"is_first": seq == first, "is_last": seq == last}
     )
-    return ends.select("server_id", F.inline(sides))
 
 
-def first_last(
-    cleaned: DataFrame,
-    snapshots: DataFrame,
-    counters: Sequence[str] = COUNTERS,
-) -> DataFrame:
+def first_last(ends: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
     """Activity of each key over the whole period: last snapshot minus first.
 
-    ``cleaned`` are the filtered rows, ``snapshots`` the log they came from, whose ends count even if the
-    filter emptied them. Merging duplicates and pairing both ends happen in one aggregation.
+    Takes the rows of ``at_ends``. Merging duplicates and pairing both ends happen in one aggregation.
     """
-    ends = cleaned.join(end_snapshots(snapshots), ["server_id", "collection_seq"])
-    first, last = ~F.col("is_last"), F.col("is_last")
     pairs = ends.groupBy("server_id", *KEY).agg(
-        F.min(F.when(first, F.col("collection_seq"))).alias("sample_seq"),
-        F.max(F.when(first, F.col("collected_time"))).alias("start_time"),
-        F.max(F.when(last, F.col("collected_time"))).alias("end_time"),
-        *[merged(c, last).alias(c) for c in counters],
-        *[merged(c, first).alias(_before(c)) for c in counters],
+        F.expr("min(if(is_first, collection_seq, null))").alias("sample_seq"),
+        F.expr("max(if(is_first, collected_time, null))").alias("start_time"),
+        F.expr("max(if(is_last, collected_time, null))").alias("end_time"),
+        *[merged(c, "is_last").alias(c) for c in counters],
+        *[merged(c, "is_first").alias(_before(c)) for c in counters],
     )
-    met = pairs.where(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
+    met = pairs.where("start_time is not null and end_time is not null")
     return kept(_classified(met, counters))

@@ -14,26 +14,22 @@ from counterscope.schema import METRIC_NAMES
 CHUNK = 4096
 
 
+_PLAIN = (
+    "sum_errors",
+    "sum_warnings",
+    "sum_rows_affected",
+    "sum_rows_sent",
+    "sum_rows_examined",
+    "sum_select_scan",
+    "sum_no_index_used",
+    "sum_no_good_index_used",
+)
+
+
 def metric_columns() -> dict[str, Column]:
     """Value of each metric for one sample row. Only QPS is per second."""
-    values = [
-        F.col("count_star").cast("double"),
-        per_second(),
-        latency(),
-        *[
-            F.col(c).cast("double")
-            for c in (
-                "sum_errors",
-                "sum_warnings",
-                "sum_rows_affected",
-                "sum_rows_sent",
-                "sum_rows_examined",
-                "sum_select_scan",
-                "sum_no_index_used",
-                "sum_no_good_index_used",
-            )
-        ],
-    ]
+    counts = [F.col(c).cast("double") for c in ("count_star", *_PLAIN)]
+    values = [counts[0], per_second(), latency(), *counts[1:]]
     return dict(zip(METRIC_NAMES, values, strict=True))
 
 
@@ -76,20 +72,13 @@ def stat_columns() -> list[Column]:
 
 def stat_rows(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per metric; a key without samples has zeros."""
-    n = F.coalesce(F.col("n"), F.lit(0))
-    zero = F.lit(0.0)
     cells = []
     for i, m in enumerate(METRIC_NAMES, start=1):
-        cells += [
-            F.lit(i),
-            F.lit(m),
-            F.coalesce(F.try_divide(F.col(f"{m}_sum"), F.col("n")), zero),
-            F.coalesce(F.col(f"{m}_sd"), zero),
-            F.coalesce(F.col(f"{m}_min"), zero),
-            F.coalesce(F.col(f"{m}_max"), zero),
-        ]
+        cells += [f"{i}, '{m}', coalesce(try_divide({m}_sum, n), 0D)"]
+        cells += [f"coalesce({m}_{stat}, 0D)" for stat in ("sd", "min", "max")]
+    rows = F.expr(f"stack({len(METRIC_NAMES)}, {', '.join(cells)})")
     names = ("metric_ord", "metric", "avg", "stddev", "min", "max")
-    return wide.select(*ids, n.alias("n"), F.stack(F.lit(len(METRIC_NAMES)), *cells).alias(*names)).select(
+    return wide.select(*ids, F.expr("coalesce(n, 0L) as n"), rows.alias(*names)).select(
         *ids, "metric_ord", "metric", "n", "avg", "stddev", "min", "max"
     )
 

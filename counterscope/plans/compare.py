@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterscope.operators.clean import clean, dedup
-from counterscope.operators.deltas import deltas, first_last
+from counterscope.operators.deltas import at_ends_of_one, deltas, first_last
 from counterscope.operators.dictionary import texts_of
 from counterscope.operators.metrics import metric_stats, metrics_arrays, metrics_long, stat_columns, stat_rows
 from counterscope.operators.ranking import small_side, topn
 from counterscope.schema import COUNTERS, DEFAULT_TOP_N
+from counterscope.session import materialized
 
 
 @dataclass(frozen=True)
@@ -39,29 +41,31 @@ class Comparison:
         """First-to-last activity of the base server only; the other servers' rows are not read."""
         own = self.snapshots.where(F.col("server_id") == self.base_server)
         filtered = clean(own, self.query_filter, self.ignore_performance_schema)
-        return first_last(filtered, own, self.counters)
+        return first_last(at_ends_of_one(filtered, own), self.counters)
 
+    @cached_property
     def top_keys(self) -> DataFrame:
-        return topn(self.period(), self.top_n)
+        """At most ``top_n`` rows, found once: ranking reads the whole log of the base server."""
+        return materialized(topn(self.period(), self.top_n))
 
     def top_texts(self) -> DataFrame:
-        keys = small_side(self.top_keys(), self.top_n)
-        return texts_of(keys, self.snapshots)
+        return texts_of(small_side(self.top_keys, self.top_n), self.snapshots)
 
     def samples(self) -> DataFrame:
-        """Samples of the top keys on every server, with their rank.
+        """Samples of the top keys on every server.
 
-        The few keys filter the log at the scan, so only their rows are shuffled and sorted.
+        The few keys filter the log at the scan, so only their rows are shuffled and sorted, and from
+        there on the rank stands for the key.
         """
-        keys = self.top_keys().select("digest", "schema_name", "query_rank")
-        wanted = small_side(keys, self.top_n)
-        rows = self.cleaned().join(wanted.drop("query_rank"), ["digest", "schema_name"], "left_semi")
-        return deltas(dedup(rows, self.counters), self.counters).join(wanted, ["digest", "schema_name"])
+        ranks = small_side(self.top_keys.select("digest", "schema_name", "query_rank"), self.top_n)
+        rows = self.cleaned().join(ranks, ["digest", "schema_name"])
+        by_rank = ("query_rank",)
+        return deltas(dedup(rows, self.counters, by_rank), self.counters, by_rank)
 
     def grid(self) -> DataFrame:
         """Each top key on each server, present there or not: ``top_n`` times servers rows."""
         servers = F.array(*[F.lit(i) for i in self.server_ids])
-        return self.top_keys().select(
+        return self.top_keys.select(
             "query_rank", "query_key", F.explode(servers).alias("server_id")
         )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHARED_DIR = "spark.checkpoint.dir"
 
@@ -22,6 +22,7 @@ def local_session(app: str = "counterscope", cores: int | str = "*", partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -38,3 +39,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {_SHARED_DIR} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="counterscope-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute a small table once and keep it in reliable storage, so that its uses share one run."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
