@@ -60,10 +60,12 @@ def float_number(value: Column) -> Column:
     return F.when(value == 0, F.lit("0")).when(value >= 1000, thousands).otherwise(small)
 
 
-def significant(value: Column, digits: int) -> Column:
-    """Round to ``digits`` significant digits, print with as many decimals (123 gives ``120.00``)."""
-    scientific = F.call_function("format_number", value, F.lit("0." + "0" * (digits - 1) + "E0"))
-    return fixed(scientific.cast("double"), digits)
+def significant(whole: Column, digits: int) -> Column:
+    """Round a whole number to ``digits`` significant digits, half to even, and print it with as many
+    decimals (123 gives ``120.00``)."""
+    step = F.pow(F.lit(10.0), F.length(whole.cast("string")) - digits)
+    rounded = F.when(whole >= 10**digits, F.bround(whole / step, 0) * step).otherwise(whole.cast("double"))
+    return fixed(rounded, digits)
 
 
 def clock(seconds: Column) -> Column:
@@ -86,7 +88,7 @@ def picosecond_time(picoseconds: str) -> Column:
 
     text = F.when(ps >= 60 * 10**12, clock(whole(10**12)))
     for unit, name in _PICO_UNITS:
-        text = text.when(ps >= unit, F.concat(significant(whole(unit).cast("double"), 2), F.lit(name)))
+        text = text.when(ps >= unit, F.concat(significant(whole(unit), 2), F.lit(name)))
     return text.otherwise(F.concat(ps.cast("string"), F.lit(" ps")))
 
 

@@ -336,4 +336,4 @@ def with_(*steps: str) -> str:
 
 
 def rounded(metric: str, value: str) -> str:
-    return f"CASE WHEN {metric} IN ('QPS', 'Latency') THEN round({value}, 9) ELSE round({value}, 6) END"
+    return f"CASE WHEN {metric} IN ('QPS', 'Latency') THEN round({value}, 10) ELSE round({value}, 6) END"

@@ -54,7 +54,7 @@ def plain_times(df: DataFrame) -> DataFrame:
 def rounded(value: str, metric: str = "metric") -> Column:
     """Values are sums of doubles in no fixed order: compare them without the last digits."""
     fine = F.col(metric).isin("QPS", "Latency")
-    return F.when(fine, F.round(value, 9)).otherwise(F.round(value, 6)).alias(value)
+    return F.when(fine, F.round(value, 10)).otherwise(F.round(value, 6)).alias(value)
 
 
 _SERVERS = dv.EVENT_SERVERS
@@ -364,8 +364,6 @@ def run_status_idle(spark, sf_dir):
 
 # Metrics
 
-_STATS = "round(value, 9)"
-
 
 def _rounded_stats(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.select(*ids, "metric_ord", "metric", "n", *[rounded(c) for c in ("avg", "stddev", "min", "max")])

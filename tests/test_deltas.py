@@ -1,0 +1,252 @@
+"""Differences, ranking and metrics on hand-made logs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from counterscope.operators import clean as cl
+from counterscope.operators import deltas as dl
+from counterscope.operators.metrics import metric_stats, metrics_arrays
+from counterscope.operators.quality import idle_status
+from counterscope.operators.ranking import topn
+from counterscope.functions.rates import latency
+from counterscope.plans.compare import Comparison, compare_pct, compare_servers
+from counterscope.schema import COUNTERS
+
+
+def busy(n, t=None, **more):
+    return {"count_star": n, "sum_timer_wait": n * 1000 if t is None else t, **more}
+
+
+def series(*counts, server=0, text="q"):
+    """One row per snapshot; None leaves the key out of that snapshot."""
+    return [(server, i, text, None, c if isinstance(c, dict) else busy(c)) for i, c in enumerate(counts, 1) if c is not None]
+
+
+def outcomes(df):
+    return {(r.server_id, r.sample_seq): r.outcome for r in dl.adjacent_pairs(cl.collect_clean(df)).collect()}
+
+
+def test_a_gap_makes_no_delta(log):
+    assert outcomes(log(series(1, None, 3))) == {}
+    assert outcomes(log(series(1, None, 3, 4))) == {(0, 3): "kept"}
+
+
+def test_outcomes(log):
+    rows = series(9, 2, 2, busy(3, t=2000), busy(4, t=9000), {})
+    assert outcomes(log(rows)) == {
+        (0, 1): "reset",
+        (0, 2): "no_progress",
+        (0, 3): "no_progress",
+        (0, 4): "kept",
+        (0, 5): "empty",
+    }
+
+
+def test_idle_baseline_counts(log):
+    row = dl.deltas(cl.collect_clean(log(series({}, busy(5, t=50))))).first()
+    assert (row.count_star, row.sum_timer_wait, row.duration_s) == (5, 50, 10.0)
+
+
+def test_time_falling_is_a_reset(log):
+    assert outcomes(log(series(busy(1, t=10), busy(2, t=9)))) == {(0, 1): "reset"}
+
+
+def test_zero_duration(log):
+    df = log(series(1, 2, 1), times={(0, 1): 5, (0, 2): 5, (0, 3): 5})
+    rejects = dl.delta_rejects(dl.adjacent_pairs(cl.collect_clean(df))).collect()
+    assert {r.reason for r in rejects} == {"zero_duration"} and len(rejects) == 2
+
+
+def test_negative_duration_is_kept(log):
+    row = dl.deltas(cl.collect_clean(log(series(1, 2), times={(0, 1): 20, (0, 2): 10}))).first()
+    assert row.duration_s == -10.0
+
+
+def test_fallen_counter_is_flagged_or_wrapped(log):
+    d = cl.collect_clean(log(series(busy(1, sum_errors=5), busy(2, sum_errors=3))))
+    row = dl.deltas(d).first()
+    assert (row.sum_errors, row.negative_counter) == (-2, True)
+    assert dl.deltas(d, wrap_unsigned=True).first().sum_errors == 2**64 - 2
+
+
+def random_log(log, seed, snapshots=40):
+    rng = random.Random(seed)
+    rows = []
+    for server in (0, 1):
+        for key in range(6):
+            total = 0
+            for seq in range(1, snapshots + 1):
+                if rng.random() < 0.15:
+                    continue
+                total = 0 if rng.random() < 0.1 else total + rng.randrange(0, 4)
+                for _ in range(rng.choice((1, 1, 2))):
+                    rows.append((server, seq, f"q{key}", rng.choice((None, "s")), busy(total, t=total * 7, sum_errors=rng.randrange(9))))
+    rng.shuffle(rows)
+    return log(rows)
+
+
+def by_hand(deduped):
+    """Adjacent differences computed row by row."""
+    rows = {(r.server_id, r.digest, r.schema_name, r.collection_seq): r for r in deduped.collect()}
+    out = set()
+    for (server, digest, schema, seq), a in rows.items():
+        b = rows.get((server, digest, schema, seq + 1))
+        if b is None or (b.count_star == 0 and b.sum_timer_wait == 0):
+            continue
+        if b.count_star > a.count_star and b.sum_timer_wait > a.sum_timer_wait:
+            out.add((server, seq, digest, schema, *[b[c] - a[c] for c in COUNTERS]))
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 2, 7, 64])
+def test_window_join_and_hand_agree_for_every_span(log, span):
+    deduped = cl.collect_clean(random_log(log, span)).cache()
+    shape = lambda df: {tuple(r) for r in df.select("server_id", "sample_seq", "digest", "schema_name", *COUNTERS).collect()}
+    want = by_hand(deduped)
+    windowed = dl.deltas(deduped, span=span)
+    assert windowed.count() == len(want)
+    assert shape(windowed) == want
+    assert shape(dl.deltas_join(deduped)) == want
+
+
+def test_first_last_needs_both_ends(log):
+    df = log(series(1, 5, 9, text="both") + series(1, 5, None, text="early") + series(None, 5, 9, text="late"))
+    rows = dl.first_last(dl.at_ends(cl.clean(df), df)).collect()
+    assert [(r.sample_seq, r.count_star, r.duration_s) for r in rows] == [(1, 8, 20.0)]
+    one = dl.first_last(dl.at_ends_of_one(cl.clean(df), df)).collect()
+    assert rows == one
+
+
+def test_first_last_uses_the_ends_of_the_unfiltered_log(log):
+    df = log(series(1, 2, 3, text="other") + series(None, 1, 5, text="wanted"))
+    cleaned = cl.clean(df, query_filter="wanted")
+    assert dl.first_last(dl.at_ends(cleaned, df)).count() == 0
+
+
+def test_first_last_merges_duplicates_at_both_ends(log):
+    rows = [(0, s, "q", None, c) for s, c in ((1, busy(1)), (1, busy(2)), (1, {"sum_errors": 7}), (2, busy(5)), (2, busy(6)))]
+    df = log(rows)
+    row = dl.first_last(dl.at_ends(cl.clean(df), df)).first()
+    assert (row.count_star, row.sum_errors) == (8, 0)
+
+
+def test_one_snapshot_is_idle(log):
+    df = log(series(5))
+    assert dl.deltas(cl.collect_clean(df)).count() == 0
+    status = idle_status(Comparison(df, (0,)).period(), df, 0).collect()
+    assert [tuple(r) for r in status] == [(0, 0, 0, True, True)]
+    assert Comparison(df, (0,)).wide().count() == 0
+
+
+def test_status_of_an_active_and_of_an_unchanged_server(log):
+    df = log(series(1, 2))
+    assert tuple(idle_status(Comparison(df, (0,)).period(), df, 0).first()) == (0, 1, 1, False, False)
+    df = log(series(2, 2))
+    assert tuple(idle_status(Comparison(df, (0,)).period(), df, 0).first()) == (0, 0, 1, True, False)
+
+
+def test_ranking_breaks_ties_by_key_and_returns_what_there_is(log):
+    rows = [r for t in ("b", "a", "c") for r in series(busy(1, t=10), busy(2, t=30), text=t)]
+    df = log(rows + series(busy(1, t=10), busy(2, t=99), text="top"))
+    period = dl.first_last(dl.at_ends(cl.clean(df), df))
+    got = topn(period, 3).orderBy("query_rank").collect()
+    assert [r.query_rank for r in got] == [1, 2, 3]
+    assert got[0].sum_timer_wait == 89
+    keys = sorted(r.query_key for r in period.where("sum_timer_wait = 20").collect())
+    assert [r.query_key for r in got[1:]] == keys[:2]
+    assert topn(period, 9).count() == 4
+    single = log(series(1, 2))
+    assert topn(dl.first_last(dl.at_ends(cl.clean(single), single)), 5).count() == 1
+
+
+def test_latency_vectors(spark):
+    df = spark.createDataFrame([(0, 0), (2, 10), (2, 10_000), (4, 1999)], "count_star bigint, sum_timer_wait bigint")
+    assert [r[0] for r in df.select(latency()).collect()] == [0.0, 0.0, 5e-09, 1 / 1e9 / 4]
+
+
+@pytest.mark.parametrize(
+    "values, want",
+    [
+        (range(1, 11), (5.5, 1.0, 10.0, 2.8722813232690143)),
+        (range(10, 0, -1), (5.5, 1.0, 10.0, 2.8722813232690143)),
+        ([5] * 10, (5.0, 5.0, 5.0, 0.0)),
+    ],
+)
+def test_statistics_vectors(log, values, want):
+    total, counts = 0, [0]
+    for v in values:
+        total += v
+        counts.append(total)
+    stats = metric_stats(dl.deltas(cl.collect_clean(log(series(*counts)))))
+    row = stats.where("metric = 'queries'").first()
+    assert (row.n, row.avg, row.min, row.max) == (10, *want[:3])
+    assert row.stddev == pytest.approx(want[3], abs=1e-15)
+
+
+def test_large_values_have_true_extremes(log):
+    stats = metric_stats(dl.deltas(cl.collect_clean(log(series(busy(1, t=1), busy(3_000_000_001, t=9))))))
+    row = stats.where("metric = 'queries'").first()
+    assert (row.min, row.max) == (3e9, 3e9)
+
+
+def test_absent_key_prints_zeros(log):
+    df = log(series(1, 2, 4) + series(1, 2, 3, server=1, text="other"))
+    wide = compare_servers(df, (0, 1)).orderBy("metric_ord").collect()
+    assert len(wide) == 11
+    assert wide[0].asDict() | {"query_key": ""} == {
+        "query_rank": 1, "query_key": "", "metric_ord": 1, "metric": "queries",
+        "n_0": 2, "avg_0": 1.5, "stddev_0": 0.5, "n_1": 0, "avg_1": 0.0, "stddev_1": 0.0,
+    }
+    values = Comparison(df, (0, 1)).values()
+    assert values.where("server_id = 1").count() == 11
+    assert values.where("server_id = 1 and (sample_seq is not null or value is not null)").count() == 0
+
+
+def test_key_without_neighbours_still_has_its_rows(log):
+    """First and last snapshot rank the key, but no two neighbours differ."""
+    df = log(series(1, None, 3))
+    wide = compare_servers(df, (0,)).collect()
+    assert len(wide) == 11 and {r.n_0 for r in wide} == {0} and {r.avg_0 for r in wide} == {0.0}
+
+
+def test_percentages(log):
+    df = log(series(1, 3) + series(1, 4, server=1))
+    pct = {r.metric: r.pct_1 for r in compare_pct(compare_servers(df, (0, 1)), (0, 1)).collect()}
+    assert pct["queries"] == 50.0 and pct["errors"] is None
+
+
+def test_arrays_follow_sample_order_in_chunks(log):
+    deduped = cl.collect_clean(log(series(*[i * i for i in range(1, 11)])))
+    arrays = metrics_arrays(dl.deltas(deduped), ["server_id"], chunk=4).where("metric = 'queries'")
+    got = {r.chunk_no: r["values"] for r in arrays.collect()}
+    assert got == {0: [3.0, 5.0, 7.0], 1: [9.0, 11.0, 13.0, 15.0], 2: [17.0, 19.0]}
+
+
+def test_settings_reach_the_comparison(log):
+    rows = series(1, 3, text="SELECT a") + series(1, 9, text="SELECT b")
+    rows += [(0, s, "SELECT ps", "performance_schema", busy(n)) for s, n in ((1, 1), (2, 50))]
+    df = log(rows)
+    keys = lambda **k: Comparison(df, (0,), **k).top_texts().orderBy("query_rank").select("digest_text").collect()
+    assert [r[0] for r in keys()] == ["SELECT ps", "SELECT b", "SELECT a"]
+    assert [r[0] for r in keys(ignore_performance_schema=True)] == ["SELECT b", "SELECT a"]
+    assert [r[0] for r in keys(query_filter=" a")] == ["SELECT a"]
+    assert [r[0] for r in keys(top_n=1)] == ["SELECT ps"]
+
+
+def test_more_keys_than_a_broadcast_takes(log, monkeypatch):
+    from counterscope.operators import ranking
+
+    df = log(series(1, 2, 4) + series(1, 5, 6, text="b"))
+    want = compare_servers(df, (0,)).orderBy("query_rank", "metric_ord").collect()
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    assert compare_servers(df, (0,)).orderBy("query_rank", "metric_ord").collect() == want
+
+
+def test_a_hot_key_is_cut_into_spans(log):
+    """A long history of one key spreads over many window groups."""
+    deduped = cl.collect_clean(log(series(*range(1, 301))))
+    plan = dl.deltas(deduped)._jdf.queryExecution().executedPlan().toString()
+    assert "span" in plan
+    assert dl.deltas(deduped, span=16).agg(F.count("*")).first()[0] == 299
