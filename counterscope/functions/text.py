@@ -68,6 +68,16 @@ def significant(whole: Column, digits: int) -> Column:
     return fixed(rounded, digits)
 
 
+def steady(value: Column, digits: int = 12) -> Column:
+    """Keep ``digits`` significant digits.
+
+    Sums of doubles come in no fixed order, so their last digits vary from run to run. Without them a value
+    close to a rounding boundary prints the same every time.
+    """
+    pattern = "0." + "0" * (digits - 1) + "E0"
+    return F.call_function("format_number", value, F.lit(pattern)).cast("double")
+
+
 def clock(seconds: Column) -> Column:
     """Whole seconds as HH:MM:SS."""
     hours = F.floor(seconds / 3600)
@@ -99,6 +109,7 @@ def padded(text: Column, width: int) -> Column:
 
 def metric_cell(metric: Column, avg: Column, stddev: Column) -> Column:
     """``mean, σ spread`` in the unit of the metric."""
+    avg, stddev = steady(avg), steady(stddev)
     rate = F.concat(float_number(avg), F.lit(" qps, σ "), float_number(stddev))
     time = F.concat(float_time(avg), F.lit(", σ "), float_time(stddev))
     plain = F.concat(float_number(avg), F.lit(", σ "), float_number(stddev))

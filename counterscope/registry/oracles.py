@@ -286,6 +286,7 @@ def picosecond_time(ps: str) -> str:
 
 
 def metric_cell(avg: str, stddev: str) -> str:
+    avg, stddev = steady(avg), steady(stddev)
     number = f"concat({float_number(avg)}, CASE WHEN metric = 'QPS' THEN ' qps' ELSE '' END, ', σ ', {float_number(stddev)})"
     time = f"concat({float_time(avg)}, ', σ ', {float_time(stddev)})"
     return f"CASE WHEN metric = 'Latency' THEN {time} ELSE {number} END"
@@ -335,5 +336,9 @@ def with_(*steps: str) -> str:
     return "WITH " + ",\n".join(steps) + "\n"
 
 
-def rounded(metric: str, value: str) -> str:
-    return f"CASE WHEN {metric} IN ('QPS', 'Latency') THEN round({value}, 10) ELSE round({value}, 6) END"
+def steady(value: str, digits: int = 12) -> str:
+    return f"CAST(printf('%.{digits - 1}e', {value}) AS DOUBLE)"
+
+
+def rounded(value: str) -> str:
+    return steady(steady(value), 10)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from counterscope.functions.keys import is_empty, query_key
 from counterscope.functions.rates import latency
-from counterscope.functions.text import float_number, float_time, picosecond_time
+from counterscope.functions.text import float_number, float_time, picosecond_time, steady
 from counterscope.operators import clean as cl
 from counterscope.operators import deltas as dl
 from counterscope.operators import dictionary as di
@@ -51,10 +51,12 @@ def plain_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
 
 
-def rounded(value: str, metric: str = "metric") -> Column:
-    """Values are sums of doubles in no fixed order: compare them without the last digits."""
-    fine = F.col(metric).isin("QPS", "Latency")
-    return F.when(fine, F.round(value, 10)).otherwise(F.round(value, 6)).alias(value)
+def rounded(value: str) -> Column:
+    """Ten significant digits, for comparing values that two engines add up in different orders.
+
+    Cutting to twelve first makes a value that lies on a rounding boundary the same on both sides.
+    """
+    return steady(steady(F.col(value)), 10).alias(value)
 
 
 _SERVERS = dv.EVENT_SERVERS
@@ -306,12 +308,12 @@ def deltas_wide(spark, sf_dir):
 
 @query(
     sq.with_(*_DELTAS)
-    + """SELECT server_id, sample_seq, query_key,
-         round((sum_timer_wait // 1000) / 1e9 / count_star, 9) AS latency_s FROM deltas"""
+    + f"""SELECT server_id, sample_seq, query_key,
+         {sq.rounded("(sum_timer_wait // 1000) / 1e9 / count_star")} AS latency_s FROM deltas"""
 )
 def latencies(spark, sf_dir):
-    samples = dl.deltas(_deduped(spark, sf_dir))
-    return samples.select("server_id", "sample_seq", "query_key", F.round(latency(), 9).alias("latency_s"))
+    samples = dl.deltas(_deduped(spark, sf_dir)).withColumn("latency_s", latency())
+    return samples.select("server_id", "sample_seq", "query_key", rounded("latency_s"))
 
 
 @query(
@@ -370,8 +372,8 @@ def _rounded_stats(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 _STAT_SQL = f"""SELECT server_id, digest, schema_name, metric_ord, metric, count(*) AS n,
-  {sq.rounded("metric", "avg(value)")} AS avg, {sq.rounded("metric", "stddev_pop(value)")} AS stddev,
-  {sq.rounded("metric", "min(value)")} AS min, {sq.rounded("metric", "max(value)")} AS max
+  {sq.rounded("avg(value)")} AS avg, {sq.rounded("stddev_pop(value)")} AS stddev,
+  {sq.rounded("min(value)")} AS min, {sq.rounded("max(value)")} AS max
 FROM metric_values GROUP BY server_id, digest, schema_name, metric_ord, metric"""
 _KEY_VALUES = sq.metric_values("deltas", "server_id, digest, schema_name")
 
@@ -385,7 +387,7 @@ def metric_stats(spark, sf_dir):
 @query(
     sq.with_(_COMPARED)
     + f"""SELECT DISTINCT g.query_rank, g.query_key, g.server_id, v.sample_seq, g.metric_ord, g.metric,
-          {sq.rounded("g.metric", "v.value")} AS value
+          {sq.rounded("v.value")} AS value
           FROM grid g LEFT JOIN metric_values v ON v.query_rank = g.query_rank
            AND v.server_id = g.server_id AND v.metric_ord = g.metric_ord"""
 )
@@ -432,7 +434,7 @@ def _rounded_wide(wide: DataFrame, server_ids) -> DataFrame:
 
 def _wide_sql(server_ids) -> str:
     cells = ", ".join(
-        f"n_{s}, {sq.rounded('metric', f'avg_{s}')} AS avg_{s}, {sq.rounded('metric', f'stddev_{s}')} AS stddev_{s}"
+        f"n_{s}, {sq.rounded(f'avg_{s}')} AS avg_{s}, {sq.rounded(f'stddev_{s}')} AS stddev_{s}"
         for s in server_ids
     )
     return f"SELECT query_rank, query_key, metric_ord, metric, {cells} FROM wide"
@@ -462,13 +464,13 @@ def profile_server(spark, sf_dir):
 
 @query(
     sq.with_(_COMPARED)
-    + f"""SELECT query_rank, query_key, metric_ord, metric, {sq.rounded("metric", "avg_0")} AS avg_0,
-          round(CASE WHEN avg_0 <> 0 THEN (avg_1 - avg_0) / avg_0 * 100 END, 6) AS pct_1 FROM wide"""
+    + f"""SELECT query_rank, query_key, metric_ord, metric, {sq.rounded("avg_0")} AS avg_0,
+          {sq.rounded("CASE WHEN avg_0 <> 0 THEN (avg_1 - avg_0) / avg_0 * 100 END")} AS pct_1 FROM wide"""
 )
 def compare_pct(spark, sf_dir):
     pct = cp.compare_pct(_comparison(spark, sf_dir).wide(), _SERVERS)
     return pct.select(
-        "query_rank", "query_key", "metric_ord", "metric", rounded("avg_0"), F.round("pct_1", 6).alias("pct_1")
+        "query_rank", "query_key", "metric_ord", "metric", rounded("avg_0"), rounded("pct_1")
     )
 
 
@@ -516,8 +518,8 @@ def fmt_number(spark, sf_dir):
 
 
 _SCALES = (1.0, 1e-3, 1e-6, 1e-9)
-_LATENCY_TABLE = """latencies AS (
-  SELECT server_id, sample_seq, query_key, round((sum_timer_wait // 1000) / 1e9 / count_star, 9) AS s
+_LATENCY_TABLE = f"""latencies AS (
+  SELECT server_id, sample_seq, query_key, {sq.rounded("(sum_timer_wait // 1000) / 1e9 / count_star")} AS s
   FROM deltas)"""
 
 

@@ -15,6 +15,7 @@ from counterscope.functions.text import (
     padded,
     picosecond_time,
     significant,
+    steady,
 )
 
 
@@ -105,3 +106,21 @@ def test_short_name(spark):
     got = texts(spark, [long, "y" * 40, "y" * 41], "string", short_name(F.col("v")))
     assert got == [long[:18] + "..." + long[-19:], "y" * 40, "y" * 18 + "..." + "y" * 19]
     assert len(got[0]) == 40
+
+
+def test_steady_drops_noise_only(spark):
+    values = [0.0, 0.030165000000000004, 0.030164999999999997, 123456789.125, -2.5e-7, 1e300]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.v for r in df.select("i", steady(F.col("v")).alias("v")).orderBy("i").collect()]
+    assert got == [0.0, 0.030165, 0.030165, 123456789.125, -2.5e-7, 1e300]
+
+
+@pytest.mark.parametrize("digits", [10, 12])
+def test_steady_is_exact(spark, digits):
+    rng = random.Random(digits)
+    values = [rng.random() * 10 ** rng.randrange(-9, 9) for _ in range(4000)]
+    values += [rng.randrange(1, 10**15) / 2 ** rng.randrange(1, 30) for _ in range(4000)]
+    values += [float(rng.randrange(1, 10**9)) for _ in range(1000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.v for r in df.select("i", steady(F.col("v"), digits).alias("v")).orderBy("i").collect()]
+    assert got == [float(f"{v:.{digits - 1}e}") for v in values]
