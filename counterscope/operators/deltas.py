@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from counterscope.functions.keys import IS_EMPTY, with_text
 from counterscope.operators.clean import merged
 from counterscope.schema import COUNTERS, KEY
+from counterscope.session import counted_side
 
 # Snapshots per window group. It bounds the rows one task must sort for a single key, at the price of
 # sending every 64th snapshot twice.
@@ -137,12 +138,13 @@ def at_ends(cleaned: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Rows of the first and of the last snapshot of each server, marked ``is_first`` and ``is_last``.
 
     ``snapshots`` is the log that ``cleaned`` was filtered from: its ends count even if the filter emptied
-    them. The few end numbers join on server and number, so no server is a hot key.
+    them. The end numbers, two per server, are found first so that they can be broadcast; were there too
+    many servers for that, the join on server and number would still have no hot key.
     """
     ends = snapshots.groupBy("server_id").agg(
         F.min("collection_seq").alias("first_seq"), F.max("collection_seq").alias("last_seq")
     )
-    numbers = ends.select(
+    numbers = counted_side(ends).select(
         "server_id",
         "first_seq",
         "last_seq",

@@ -10,10 +10,8 @@ from counterscope.operators.clean import filter_text
 from counterscope.sources.snapshots import scan_keys
 
 
-def _distinct_texts(snapshots: DataFrame) -> DataFrame:
-    # Distinct raw values first: it hash-combines on the map side, and MD5 then runs once per statement.
-    raw = snapshots.select("schema_name", "digest_text").distinct()
-    return scan_keys(raw).select(
+def _texts(rows: DataFrame) -> DataFrame:
+    return scan_keys(rows).select(
         "digest",
         "schema_name",
         query_key().alias("query_key"),
@@ -23,7 +21,9 @@ def _distinct_texts(snapshots: DataFrame) -> DataFrame:
 
 def query_dictionary(snapshots: DataFrame, query_filter: str = "") -> DataFrame:
     """Key to text over all servers and snapshots, after the text filter but before the schema filter."""
-    texts = _distinct_texts(filter_text(snapshots, query_filter))
+    # Distinct raw values first: they combine on the map side, and MD5 then runs once per statement.
+    raw = filter_text(snapshots, query_filter).select("schema_name", "digest_text").distinct()
+    texts = _texts(raw)
     return texts.groupBy("query_key").agg(F.min("digest_text").alias("digest_text"))
 
 
@@ -48,16 +48,17 @@ def dictionary_conflicts(keyed_texts: DataFrame, strict: bool = False) -> DataFr
     return clashes.withColumn("query_key", F.raise_error(message).cast("string"))
 
 
-def texts_of(keys: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Add ``digest_text`` to a few keys, ``''`` when unknown.
+def texts_of(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``digest_text`` to a few keys, ``''`` when ``rows`` does not have it.
 
-    ``keys`` is the small, already broadcastable side: it filters the log, so only its own texts are
-    grouped.
+    The keys are broadcast by the caller if their number allows; they filter the rows before anything is
+    shuffled.
     """
-    wanted = keys.select("digest", "schema_name")
     found = (
-        _distinct_texts(snapshots)
-        .join(wanted, ["digest", "schema_name"], "left_semi")
+        _texts(rows)
+        .join(keys.select("digest", "schema_name"), ["digest", "schema_name"], "left_semi")
+        .select("query_key", "digest_text")
+        .distinct()
         .groupBy("query_key")
         .agg(F.min("digest_text").alias("digest_text"))
     )

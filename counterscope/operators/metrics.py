@@ -49,12 +49,16 @@ def metric_rows(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
 def metrics_long(grid: DataFrame, samples: DataFrame) -> DataFrame:
     """Every metric value of every top query on every server.
 
-    ``grid`` has a row per query and server, ``samples`` carry ``query_rank``. A query without samples on
-    a server keeps one row per metric with NULL sample and value.
+    ``grid`` has a row per query and server and is broadcast by the caller, ``samples`` carry
+    ``query_rank``. A query without samples on a server keeps one row per metric with NULL sample and
+    value. Those rows come from an anti join with the pairs present, not from an outer join, which would
+    gather a query's whole history in one task.
     """
-    wide = sample_metrics(samples, ["query_rank", "server_id", "sample_seq"])
-    present = grid.join(wide, ["query_rank", "server_id"], "left")
-    return metric_rows(present, ["query_rank", "query_key", "server_id", "sample_seq"])
+    pair = ["query_rank", "server_id"]
+    present = sample_metrics(samples, [*pair, "sample_seq"]).join(grid, pair)
+    absent = grid.join(samples.select(*pair).distinct(), pair, "left_anti")
+    rows = present.unionByName(absent, allowMissingColumns=True)
+    return metric_rows(rows, ["query_rank", "query_key", "server_id", "sample_seq"])
 
 
 def stat_columns() -> list[Column]:

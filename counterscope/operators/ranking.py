@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from counterscope.schema import DEFAULT_TOP_N, KEY
 
-# A key row is some 100 bytes: up to this many are sure to fit a broadcast (about 1 MB).
-BROADCAST_ROWS = 10_000
-
 
 def order_by_time() -> list:
     return [F.col("sum_timer_wait").desc(), F.col("query_key").asc()]
@@ -23,8 +20,3 @@ def topn(period: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
     best = period.orderBy(*order_by_time()).limit(n)
     rank = F.row_number().over(Window.orderBy(*order_by_time()))
     return best.select(rank.alias("query_rank"), *KEY, "query_key", "sum_timer_wait")
-
-
-def small_side(keys: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table known to hold at most ``rows`` rows; beyond the limit Spark picks the join."""
-    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys

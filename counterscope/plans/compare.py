@@ -13,9 +13,9 @@ from counterscope.operators.clean import clean, dedup
 from counterscope.operators.deltas import at_ends_of_one, deltas, first_last
 from counterscope.operators.dictionary import texts_of
 from counterscope.operators.metrics import metric_stats, metrics_arrays, metrics_long, stat_columns, stat_rows
-from counterscope.operators.ranking import small_side, topn
+from counterscope.operators.ranking import topn
 from counterscope.schema import COUNTERS, DEFAULT_TOP_N
-from counterscope.session import materialized
+from counterscope.session import materialized, small_side
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,12 @@ class Comparison:
         log = self.snapshots.where(F.col("server_id").isin(*self.server_ids))
         return clean(log, self.query_filter, self.ignore_performance_schema)
 
+    def base_log(self) -> DataFrame:
+        return self.snapshots.where(F.col("server_id") == self.base_server)
+
     def period(self) -> DataFrame:
         """First-to-last activity of the base server only; the other servers' rows are not read."""
-        own = self.snapshots.where(F.col("server_id") == self.base_server)
+        own = self.base_log()
         filtered = clean(own, self.query_filter, self.ignore_performance_schema)
         return first_last(at_ends_of_one(filtered, own), self.counters)
 
@@ -49,7 +52,9 @@ class Comparison:
         return materialized(topn(self.period(), self.top_n))
 
     def top_texts(self) -> DataFrame:
-        return texts_of(small_side(self.top_keys, self.top_n), self.snapshots)
+        """The top keys with their texts, which the end snapshots that ranked them must contain."""
+        own = self.base_log()
+        return texts_of(small_side(self.top_keys, self.top_n), at_ends_of_one(own, own))
 
     def samples(self) -> DataFrame:
         """Samples of the top keys on every server.
@@ -70,7 +75,8 @@ class Comparison:
         )
 
     def values(self) -> DataFrame:
-        return metrics_long(self.grid(), self.samples())
+        grid = small_side(self.grid(), self.top_n * len(self.server_ids))
+        return metrics_long(grid, self.samples())
 
     def arrays(self) -> DataFrame:
         return metrics_arrays(self.samples(), ["query_rank", "server_id"])
@@ -127,15 +133,17 @@ def all_key_stats(snapshots: DataFrame, counters: Sequence[str] = COUNTERS) -> D
     return metric_stats(deltas(dedup(clean(snapshots), counters), counters))
 
 
-def error_detail(statements: DataFrame, keys: DataFrame) -> DataFrame:
+def error_detail(statements: DataFrame, keys: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
     """Errors and warnings of the top keys by error number, from a statement history.
 
-    ``statements`` has ``server_id, digest, schema_name, errno, errors, warnings``. A key without any
+    ``statements`` has ``server_id, digest, schema_name, errno, errors, warnings``; ``keys`` has at most
+    ``top_n`` rows. A key without any
     keeps one row with NULL server and number and zero counts.
     """
+    wanted = small_side(keys.select("digest", "schema_name"), top_n)
     found = (
         statements.where((F.col("errors") > 0) | (F.col("warnings") > 0))
-        .join(keys.select("digest", "schema_name"), ["digest", "schema_name"], "left_semi")
+        .join(wanted, ["digest", "schema_name"], "left_semi")
         .groupBy("server_id", "digest", "schema_name", "errno")
         .agg(
             F.count("*").alias("n_statements"),

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterscope.schema import COUNTERS, EXTRA_COUNTERS
+from counterscope.session import shared_folder
+from counterscope.sources.snapshots import read_snapshot_log, write_snapshot_log
 
 EVENT_SERVERS = (0, 1)
 LINEITEM_SERVERS = (0, 1, 2)
@@ -142,6 +144,14 @@ def lineitem_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_log_order(filled, list(COUNTERS))
 
 
+def stored(log: DataFrame) -> DataFrame:
+    """Write a derived log to the shared folder and read it back, for jobs that read it several times."""
+    spark = log.sparkSession
+    path = shared_folder(spark, "snapshots")
+    write_snapshot_log(log, path)
+    return read_snapshot_log(spark, path)
+
+
 def event_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The servers the events came from."""
     seen = event_statements(spark, sf_dir).select("server_id").distinct()

@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHARED_DIR = "spark.checkpoint.dir"
 
+# The small tables joined here have rows of some 100 bytes: this many are sure to fit a broadcast.
+BROADCAST_ROWS = 10_000
+
 
 def local_session(app: str = "counterscope", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks. On a cluster, use the one spark-submit configures."""
@@ -47,3 +51,18 @@ def materialized(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table that holds at most ``rows`` rows; beyond the limit Spark picks the join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def counted_side(df: DataFrame) -> DataFrame:
+    """Compute a table of unknown but probably small size, and broadcast it if it is.
+
+    Left to estimates, Spark would expect it to be as large as the log it was aggregated from and shuffle
+    that log for the join.
+    """
+    table = materialized(df)
+    return small_side(table, table.count())

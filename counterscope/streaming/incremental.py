@@ -20,6 +20,7 @@ from counterscope.functions.keys import query_key
 from counterscope.operators.clean import clean, dedup
 from counterscope.operators.deltas import deltas
 from counterscope.schema import COUNTERS, snapshot_schema
+from counterscope.session import counted_side
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,7 @@ def memory_schema(counters: Sequence[str] = COUNTERS) -> T.StructType:
 def later_than_known(fresh: DataFrame, known: DataFrame) -> DataFrame:
     """Drop snapshots a server has delivered before or skipped past."""
     marks = known.groupBy("server_id").agg(F.max("collection_seq").alias("known_seq"))
+    marks = counted_side(marks)
     newer = F.col("known_seq").isNull() | (F.col("collection_seq") > F.col("known_seq"))
     return fresh.join(marks, "server_id", "left").where(newer).drop("known_seq")
 
@@ -119,4 +121,4 @@ def later_than_known(fresh: DataFrame, known: DataFrame) -> DataFrame:
 def newest_snapshots(rows: DataFrame) -> DataFrame:
     """Rows of the last snapshot of each server; keys that vanished are forgotten."""
     newest = rows.groupBy("server_id").agg(F.max("collection_seq").alias("collection_seq"))
-    return rows.join(newest, ["server_id", "collection_seq"])
+    return rows.join(counted_side(newest), ["server_id", "collection_seq"])

@@ -236,12 +236,17 @@ def test_settings_reach_the_comparison(log):
 
 
 def test_more_keys_than_a_broadcast_takes(log, monkeypatch):
-    from counterscope.operators import ranking
+    from counterscope import session
 
     df = log(series(1, 2, 4) + series(1, 5, 6, text="b"))
     want = compare_servers(df, (0,)).orderBy("query_rank", "metric_ord").collect()
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    values = Comparison(df, (0,)).values()
+    lines = sorted(map(tuple, values.where("value is not null").collect()))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     assert compare_servers(df, (0,)).orderBy("query_rank", "metric_ord").collect() == want
+    values = Comparison(df, (0,)).values()
+    assert sorted(map(tuple, values.where("value is not null").collect())) == lines
+    assert dl.first_last(dl.at_ends(cl.clean(df), df)).count() == 2
 
 
 def test_a_hot_key_is_cut_into_spans(log):
