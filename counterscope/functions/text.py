@@ -10,18 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _pattern(decimals: int) -> str:
+    return "0." + "0" * decimals if decimals else "0"
+
+
 def fixed(value: Column, decimals: int) -> Column:
-    pattern = "0." + "0" * decimals if decimals else "0"
-    return F.call_function("format_number", value, F.lit(pattern))
+    return F.call_function("format_number", value, F.lit(_pattern(decimals)))
+
+
+def _by_band(name: str, bands, field: int, fallback) -> str:
+    """SQL for the given field of the first band whose lower bound the column reaches."""
 
+    def literal(x) -> str:
+        return f"'{x}'" if isinstance(x, str) else f"{x!r}D"
 
-def _banded(value: Column, bands, fallback: Column) -> Column:
-    text = None
-    for floor, scale, decimals, unit in bands:
-        cell = F.concat(fixed(value * F.lit(scale) if scale != 1.0 else value, decimals), F.lit(unit))
-        hit = value >= F.lit(floor)
-        text = F.when(hit, cell) if text is None else text.when(hit, cell)
-    return text.otherwise(fallback)
+    cases = " ".join(f"when {name} >= {literal(band[0])} then {literal(band[field])}" for band in bands)
+    return f"case {cases} else {literal(fallback)} end"
 
 
 # Lower bound in seconds, factor to the printed unit, decimals, unit.
@@ -38,8 +42,9 @@ _TIME_BANDS = (
     (0.000000001, 1000000000.0, 3, " ns"),
 )
 
-# Lower bound, factor, decimals, unit (thousands are handled apart, they divide).
+# Lower bound, divisor, decimals, unit.
 _NUMBER_BANDS = (
+    (1000.0, 1000.0, 2, " k"),
     (100.0, 1.0, 0, ""),
     (10.0, 1.0, 1, ""),
     (1.0, 1.0, 2, ""),
@@ -47,17 +52,37 @@ _NUMBER_BANDS = (
     (0.01, 1.0, 4, ""),
 )
 
+# Fixed value: decimals of anything smaller.
+_SMALL_DECIMALS = 6
+
+
+def _with_patterns(bands) -> list[tuple]:
+    return [(floor, scale, _pattern(decimals), unit) for floor, scale, decimals, unit in bands]
+
 
-def float_time(seconds: Column) -> Column:
-    """Seconds as s, ms, µs or ns with about four significant digits."""
-    return _banded(seconds, _TIME_BANDS, F.concat(fixed(seconds, 6), F.lit(" s")))
+def _time_sql(name: str) -> str:
+    # One format call takes its factor, pattern and unit from the band: the generated code stays small.
+    bands = _with_patterns(_TIME_BANDS)
+    factor, unit = _by_band(name, bands, 1, 1.0), _by_band(name, bands, 3, " s")
+    pattern = _by_band(name, bands, 2, _pattern(_SMALL_DECIMALS))
+    return f"concat(format_number({name} * {factor}, {pattern}), {unit})"
 
 
-def float_number(value: Column) -> Column:
-    """A number with about three significant digits; thousands get a ``k``."""
-    small = _banded(value, _NUMBER_BANDS, fixed(value, 6))
-    thousands = F.concat(fixed(value / F.lit(1000.0), 2), F.lit(" k"))
-    return F.when(value == 0, F.lit("0")).when(value >= 1000, thousands).otherwise(small)
+def _number_sql(name: str) -> str:
+    bands = _with_patterns(_NUMBER_BANDS)
+    divisor, unit = _by_band(name, bands, 1, 1.0), _by_band(name, bands, 3, "")
+    pattern = _by_band(name, bands, 2, _pattern(_SMALL_DECIMALS))
+    return f"if({name} = 0, '0', concat(format_number({name} / {divisor}, {pattern}), {unit}))"
+
+
+def float_time(seconds: str) -> Column:
+    """A column of seconds as s, ms, µs or ns with about four significant digits."""
+    return F.expr(_time_sql(seconds))
+
+
+def float_number(value: str) -> Column:
+    """A column of numbers with about three significant digits; thousands get a ``k``."""
+    return F.expr(_number_sql(value))
 
 
 def significant(whole: Column, digits: int) -> Column:
@@ -107,10 +132,11 @@ def padded(text: Column, width: int) -> Column:
     return F.format_string(f"%-{width}s", text)
 
 
-def metric_cell(metric: Column, avg: Column, stddev: Column) -> Column:
+def metric_cell(avg: str, stddev: str, metric: str = "metric") -> Column:
     """``mean, σ spread`` in the unit of the metric."""
-    avg, stddev = steady(avg), steady(stddev)
-    rate = F.concat(float_number(avg), F.lit(" qps, σ "), float_number(stddev))
-    time = F.concat(float_time(avg), F.lit(", σ "), float_time(stddev))
-    plain = F.concat(float_number(avg), F.lit(", σ "), float_number(stddev))
-    return F.when(metric == "QPS", rate).when(metric == "Latency", time).otherwise(plain)
+
+    def text(name: str) -> str:
+        return f"if({metric} = 'Latency', {_time_sql(name)}, {_number_sql(name)})"
+
+    rate = f"if({metric} = 'QPS', ' qps', '')"
+    return F.expr(f"concat({text(avg)}, {rate}, ', σ ', {text(stddev)})")

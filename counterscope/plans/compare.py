@@ -51,10 +51,11 @@ class Comparison:
         """At most ``top_n`` rows, found once: ranking reads the whole log of the base server."""
         return materialized(topn(self.period(), self.top_n))
 
+    @cached_property
     def top_texts(self) -> DataFrame:
         """The top keys with their texts, which the end snapshots that ranked them must contain."""
         own = self.base_log()
-        return texts_of(small_side(self.top_keys, self.top_n), at_ends_of_one(own, own))
+        return materialized(texts_of(small_side(self.top_keys, self.top_n), at_ends_of_one(own, own)))
 
     def samples(self) -> DataFrame:
         """Samples of the top keys on every server.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterscope.functions.text import metric_cell, padded, picosecond_time
+from counterscope.functions.text import metric_cell, padded, picosecond_time, steady
 
 # Column widths and separators of the report.
 _NAME_WIDTH = 40
@@ -50,10 +50,11 @@ def _server_line(keys: DataFrame, servers: DataFrame, server_ids: Sequence[int])
 def _metric_line(wide: DataFrame, server_ids: Sequence[int]) -> DataFrame:
     heading = padded(F.concat(F.lit("  Avg "), F.col("metric"), F.lit(":")), _HEADING_WIDTH)
     cells = [
-        padded(metric_cell(F.col("metric"), F.col(f"avg_{s}"), F.col(f"stddev_{s}")), _CELL_WIDTH)
+        padded(metric_cell(f"avg_{s}", f"stddev_{s}"), _CELL_WIDTH)
         for s in server_ids
     ]
-    return wide.select(
+    values = [f"{stat}_{s}" for s in server_ids for stat in ("avg", "stddev")]
+    return wide.withColumns({v: steady(F.col(v)) for v in values}).select(
         "query_rank",
         (F.col("metric_ord") + (_FIRST_METRIC_LINE - 1)).alias("line_no"),
         F.concat(heading, F.lit(" "), F.concat_ws(_SEPARATOR, *cells)).alias("line"),
@@ -97,7 +98,7 @@ def server_listing(metrics: DataFrame, servers: DataFrame, sample_counts: DataFr
             F.lit(" queries"),
         ).alias("line"),
     )
-    cell = metric_cell(F.col("metric"), F.col("avg"), F.col("stddev"))
+    cell = metric_cell("avg", "stddev")
     metric_line = F.concat(F.lit("  Avg "), F.col("metric"), F.lit(": "), cell)
     query_line = F.concat(F.lit("Query "), F.col("query_rank").cast("string"), F.lit(":"))
     # The first metric of a query brings the query's own line along.
@@ -105,7 +106,8 @@ def server_listing(metrics: DataFrame, servers: DataFrame, sample_counts: DataFr
     own_line = F.struct(F.col("metric_ord").alias("line_no"), metric_line.alias("line"))
     head_line = F.struct(F.lit(0).alias("line_no"), query_line.alias("line"))
     both = F.when(first, F.array(head_line, own_line)).otherwise(F.array(own_line))
-    body = metrics.select("server_id", "query_rank", F.inline(both))
+    values = metrics.withColumns({v: steady(F.col(v)) for v in ("avg", "stddev")})
+    body = values.select("server_id", "query_rank", F.inline(both))
     return header.unionByName(body)
 
 

@@ -340,7 +340,7 @@ def topn(spark, sf_dir):
           {sq.picosecond_time("sum_timer_wait")} AS elapsed FROM top_texts"""
 )
 def topn_text(spark, sf_dir):
-    return rp.topn_elapsed(_comparison(spark, sf_dir).top_texts())
+    return rp.topn_elapsed(_comparison(spark, sf_dir).top_texts)
 
 
 _STATUS = """SELECT 0 AS server_id, p.n AS active_keys, s.n AS n_samples, p.n = 0 AS idle, s.n = 0 AS no_data
@@ -505,15 +505,15 @@ def error_detail(spark, sf_dir):
           {sq.float_number("stddev")} AS stddev_text, {sq.float_number("-min")} AS negative_text FROM stats"""
 )
 def fmt_number(spark, sf_dir):
-    stats = metric_stats(spark, sf_dir)
+    stats = metric_stats(spark, sf_dir).withColumn("negative", -F.col("min"))
     return stats.select(
         "server_id",
         "digest",
         "schema_name",
         "metric",
-        float_number(F.col("avg")).alias("avg_text"),
-        float_number(F.col("stddev")).alias("stddev_text"),
-        float_number(-F.col("min")).alias("negative_text"),
+        float_number("avg").alias("avg_text"),
+        float_number("stddev").alias("stddev_text"),
+        float_number("negative").alias("negative_text"),
     )
 
 
@@ -531,13 +531,12 @@ _LATENCY_TABLE = f"""latencies AS (
 )
 def fmt_time(spark, sf_dir):
     """Latencies, also scaled up and down so that every unit occurs."""
-    seconds = F.col("latency_s")
-    return latencies(spark, sf_dir).select(
-        "server_id",
-        "sample_seq",
-        "query_key",
-        *[float_time(seconds * F.lit(x)).alias(f"text_{i}") for i, x in enumerate(_SCALES)],
-        float_time(seconds * F.lit(1000.0)).alias("text_up"),
+    factors = dict(enumerate(_SCALES)) | {"up": 1000.0}
+    scaled = {f"s_{i}": F.col("latency_s") * F.lit(x) for i, x in factors.items()}
+    return (
+        latencies(spark, sf_dir)
+        .withColumns(scaled)
+        .select("server_id", "sample_seq", "query_key", *[float_time(f"s_{i}").alias(f"text_{i}") for i in factors])
     )
 
 
@@ -588,7 +587,7 @@ _EVENT_NAMES = [sq.EVENT_SERVERS, sq.server_names("servers")]
 def report_lines(spark, sf_dir):
     comparison = _comparison(spark, sf_dir)
     servers = server_dim(dv.event_servers(spark, sf_dir))
-    return rp.report_lines(comparison.wide(), comparison.top_texts(), servers, _SERVERS)
+    return rp.report_lines(comparison.wide(), comparison.top_texts, servers, _SERVERS)
 
 
 @query(

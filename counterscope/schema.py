@@ -60,17 +60,23 @@ DEFAULT_TOP_N = 5
 PERFORMANCE_SCHEMA = "performance_schema"
 
 
-def digest_schema(counters: Iterable[str] = COUNTERS) -> T.StructType:
+# Counters are unsigned 64-bit at the source. BIGINT holds all but absurd totals; a log that has larger ones
+# is read with UNSIGNED, which every operator accepts too.
+BIGINT = T.LongType()
+UNSIGNED = T.DecimalType(20, 0)
+
+
+def digest_schema(counters: Iterable[str] = COUNTERS, counter_type: T.DataType = BIGINT) -> T.StructType:
     """One row of a server's digest table."""
     fields = [
         T.StructField("schema_name", T.StringType(), True),
         T.StructField("digest_text", T.StringType(), True),
     ]
-    fields += [T.StructField(c, T.LongType(), False) for c in counters]
+    fields += [T.StructField(c, counter_type, False) for c in counters]
     return T.StructType(fields)
 
 
-def snapshot_schema(counters: Iterable[str] = COUNTERS) -> T.StructType:
+def snapshot_schema(counters: Iterable[str] = COUNTERS, counter_type: T.DataType = BIGINT) -> T.StructType:
     """One row of the snapshot log: a digest row stamped with server, snapshot number and time."""
     stamp = [
         T.StructField("server_id", T.IntegerType(), False),
@@ -78,7 +84,7 @@ def snapshot_schema(counters: Iterable[str] = COUNTERS) -> T.StructType:
         T.StructField("collected_time", T.TimestampType(), False),
         T.StructField("row_ordinal", T.LongType(), False),
     ]
-    return T.StructType(stamp + digest_schema(counters).fields)
+    return T.StructType(stamp + digest_schema(counters, counter_type).fields)
 
 
 def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:

@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterscope.functions.keys import portable_digest
-from counterscope.schema import COUNTERS, digest_schema, require_columns, snapshot_schema
+from counterscope.schema import BIGINT, COUNTERS, digest_schema, require_columns, snapshot_schema
 
 
 def read_snapshot_log(
@@ -18,6 +19,7 @@ def read_snapshot_log(
     path: str,
     fmt: str = "parquet",
     counters: Iterable[str] = COUNTERS,
+    counter_type: T.DataType = BIGINT,
     **options: str,
 ) -> DataFrame:
     """Read a snapshot log with its fixed schema; a log that lacks a column is refused.
@@ -25,7 +27,7 @@ def read_snapshot_log(
     Self-describing files are checked by their own schema. CSV is checked by its header and JSON by its
     required fields, both at run time.
     """
-    schema = snapshot_schema(counters)
+    schema = snapshot_schema(counters, counter_type)
     if fmt in ("parquet", "orc"):
         log = spark.read.format(fmt).options(**options).load(path)
         require_columns(log, schema.names)
@@ -45,8 +47,17 @@ def _required(name: str):
 def read_digest_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """One server's digest table over JDBC. Column choice and text filters are pushed to the server."""
     source = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+    return digest_rows(source)
+
+
+def digest_rows(
+    source: DataFrame, counters: Iterable[str] = COUNTERS, counter_type: T.DataType = BIGINT
+) -> DataFrame:
+    """The digest columns of a table with any letter case and integer types; too large a counter fails."""
     lowered = source.select([F.col(c).alias(c.lower()) for c in source.columns])
-    return require_columns(lowered, digest_schema().names)
+    schema = digest_schema(counters, counter_type)
+    require_columns(lowered, schema.names)
+    return lowered.select([F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def stamp_snapshot(digest_rows: DataFrame, server_id: int, seq: int, collected: datetime) -> DataFrame:

@@ -228,7 +228,7 @@ def test_settings_reach_the_comparison(log):
     rows = series(1, 3, text="SELECT a") + series(1, 9, text="SELECT b")
     rows += [(0, s, "SELECT ps", "performance_schema", busy(n)) for s, n in ((1, 1), (2, 50))]
     df = log(rows)
-    keys = lambda **k: Comparison(df, (0,), **k).top_texts().orderBy("query_rank").select("digest_text").collect()
+    keys = lambda **k: Comparison(df, (0,), **k).top_texts.orderBy("query_rank").select("digest_text").collect()
     assert [r[0] for r in keys()] == ["SELECT ps", "SELECT b", "SELECT a"]
     assert [r[0] for r in keys(ignore_performance_schema=True)] == ["SELECT b", "SELECT a"]
     assert [r[0] for r in keys(query_filter=" a")] == ["SELECT a"]

@@ -4,10 +4,11 @@ from datetime import datetime, timezone
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from counterscope.plans import report as rp
 from counterscope.plans.compare import Comparison
-from counterscope.schema import COUNTERS, snapshot_schema
+from counterscope.schema import COUNTERS, UNSIGNED, snapshot_schema
 from counterscope.session import materialized, shared_folder
 from counterscope.sources import snapshots as sn
 from counterscope.sources.servers import server_dim
@@ -81,6 +82,32 @@ def test_stamp_and_append(spark):
     assert [r.digest_text for r in arrival] == list("abcdef")
 
 
+def test_digest_rows_take_unsigned_source_types(spark):
+    source = spark.createDataFrame([("app", "q", *range(1, 11))], sn.digest_schema())
+    source = source.select([F.col(c).cast("decimal(20,0)").alias(c.upper()) if c in COUNTERS else F.col(c) for c in source.columns])
+    rows = sn.digest_rows(source)
+    assert rows.schema.names == sn.digest_schema().names and rows.first().sum_timer_wait == 2
+    with pytest.raises(ValueError, match="sum_errors"):
+        sn.digest_rows(source.drop("SUM_ERRORS"))
+    with pytest.raises(Exception, match="(?i)overflow"):
+        sn.digest_rows(source.withColumn("SUM_ERRORS", F.expr("cast('18446744073709551615' as decimal(20,0))"))).collect()
+
+
+def test_counters_beyond_bigint(spark, log, tmp_path):
+    """The whole chain on unsigned counters above 2^63."""
+    base = 2**63
+    wide = log(series(1, 3)).select(
+        *[F.col(c) for c in snapshot_schema().names if c not in COUNTERS],
+        *[F.expr(f"cast({c} as decimal(20,0)) + {base}").cast("decimal(20,0)").alias(c) for c in COUNTERS],
+    )
+    sn.write_snapshot_log(wide, f"{tmp_path}/log")
+    back = sn.read_snapshot_log(spark, f"{tmp_path}/log", counter_type=UNSIGNED)
+    wide = Comparison(back, (0,)).wide().where("metric = 'queries'").first()
+    assert (wide.n_0, wide.avg_0) == (1, 2.0)
+    with pytest.raises(Exception, match="(?i)overflow"):
+        sn.read_snapshot_log(spark, f"{tmp_path}/log").collect()
+
+
 def test_shared_folder_follows_the_session(spark):
     def session(**settings):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default: settings.get(k.split(".")[1], default)))
@@ -118,7 +145,7 @@ def servers(spark):
 def test_report_layout(spark, log, servers, tmp_path):
     rows = series(0, 866, 1732, text="SELECT 1") + series(0, 852, 1704, server=1, text="SELECT 1")
     c = Comparison(log(rows), (0, 1))
-    lines = rp.report_lines(c.wide(), c.top_texts(), servers, (0, 1))
+    lines = rp.report_lines(c.wide(), c.top_texts, servers, (0, 1))
     text = [r.line for r in lines.orderBy("query_rank", "line_no").collect()]
     assert text[:5] == [
         "Looking at top 1 queries",
@@ -135,7 +162,7 @@ def test_report_layout(spark, log, servers, tmp_path):
 
 def test_report_of_an_idle_server_has_only_its_headline(log, servers):
     c = Comparison(log(series(1, 1)), (0, 1))
-    lines = rp.report_lines(c.wide(), c.top_texts(), servers, (0, 1))
+    lines = rp.report_lines(c.wide(), c.top_texts, servers, (0, 1))
     assert [r.line for r in lines.collect()] == ["Looking at top 0 queries"]
 
 

@@ -39,7 +39,7 @@ def test_fixed_rounds_the_binary_value_half_to_even(spark, decimals):
 def test_number_vectors(spark):
     values = [0.0, 0.001, 0.0123, 0.25, 2.5, 25.0, 250.0, 999.6, 1000.0, 92250.0, -3.0]
     want = ["0", "0.001000", "0.0123", "0.250", "2.50", "25.0", "250", "1000", "1.00 k", "92.25 k", "-3.000000"]
-    assert texts(spark, values, "double", float_number(F.col("v"))) == want
+    assert texts(spark, values, "double", float_number("v")) == want
 
 
 def test_time_vectors(spark):
@@ -48,7 +48,7 @@ def test_time_vectors(spark):
         "1000 s", "100 s", "10 s", "1 s", "100.0 ms", "10.00 ms", "1.000 ms", "100.0 µs", "10.00 µs", "1.000 µs",
         "100.0 ns", "10.00 ns", "1.000 ns", "0.000000 s",
     ]
-    assert texts(spark, values, "double", float_time(F.col("v"))) == want
+    assert texts(spark, values, "double", float_time("v")) == want
 
 
 def test_picosecond_vectors(spark):
@@ -77,8 +77,9 @@ def test_padding_keeps_long_text(spark):
 
 
 def test_cells(spark):
-    df = spark.createDataFrame([("queries",), ("QPS",), ("Latency",)], "m string")
-    cells = df.select(metric_cell(F.col("m"), F.lit(84.1), F.lit(0.0021)).alias("c")).collect()
+    rows = [(m, 84.1, 0.0021) for m in ("queries", "QPS", "Latency")]
+    df = spark.createDataFrame(rows, "metric string, a double, s double")
+    cells = df.select(metric_cell("a", "s").alias("c")).collect()
     assert [r.c for r in cells] == ["84.1, σ 0.002100", "84.1 qps, σ 0.002100", "84 s, σ 2.100 ms"]
 
 
