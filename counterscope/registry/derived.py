@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc_instant(wall_clock: str) -> Column:
+    """The instant whose UTC clock shows the given zone-free time, whatever the session's zone."""
+    return F.from_utc_timestamp(F.col(wall_clock).cast("timestamp"), F.current_timezone())
+
+
+def utc_clock(instant: str) -> Column:
+    """The zone-free time a UTC clock shows at an instant."""
+    return F.to_utc_timestamp(F.col(instant), F.current_timezone()).cast("timestamp_ntz")
+
+
 def _when(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
@@ -49,7 +59,7 @@ def _in_log_order(df: DataFrame, counters: list[str]) -> DataFrame:
     return df.select(
         F.col("server_id").cast("int").alias("server_id"),
         F.col("collection_seq").cast("int").alias("collection_seq"),
-        F.col("collected_time").cast("timestamp").alias("collected_time"),
+        utc_instant("collected_time").alias("collected_time"),
         F.col("row_ordinal").cast("bigint").alias("row_ordinal"),
         "schema_name",
         "digest_text",
@@ -109,7 +119,7 @@ def event_snapshots(spark: SparkSession, sf_dir: str, extra: bool = False) -> Da
 
 def idle_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event snapshots with some rows' activity counters emptied, one or both rows of a key."""
-    day = F.dayofmonth("collected_time")
+    day = F.dayofmonth(utc_clock("collected_time"))
     idle = (day % 3 == F.col("row_ordinal")) | (day % 5 == 0)
     log = event_snapshots(spark, sf_dir)
     return log.withColumns({c: F.when(idle, 0).otherwise(F.col(c)) for c in COUNTERS[:2]})

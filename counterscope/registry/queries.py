@@ -46,9 +46,9 @@ def query(sql: str | None) -> Callable[[Run], Run]:
 
 
 def plain_times(df: DataFrame) -> DataFrame:
-    """Timestamps without a zone, as the SQL side has them."""
+    """Timestamps as UTC clock times without a zone, as the SQL side has them."""
     zoned = [name for name, kind in df.dtypes if kind == "timestamp"]
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
+    return df.withColumns({c: dv.utc_clock(c) for c in zoned}) if zoned else df
 
 
 def rounded(value: str) -> Column:
