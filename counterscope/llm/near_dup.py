@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from counterscope.llm.shared import components, counted_broadcast, one_of_each, staged, text_key, without
+from counterscope.llm.shared import components, counted_broadcast, map_batches, one_of_each, staged, text_key, without
 from counterscope.llm.words import shingle_sets, word_hashes
 
 LAST_ID = 2**63 - 1
@@ -117,9 +117,9 @@ def _links(pairs: DataFrame, members: DataFrame, percent: int, size: int) -> Dat
         pairs = pairs.join(side.withColumnsRenamed({"node": "a", column: f"{column}_a"}), "a")
         return pairs.join(side.withColumnsRenamed({"node": "b", column: f"{column}_b"}), "b")
 
-    likely = with_both(pairs, "sketch").mapInArrow(_likely(percent / 100, size), "a binary, b binary")
+    likely = map_batches(with_both(pairs, "sketch"), _likely(percent / 100, size), "a binary, b binary")
     likely = staged(likely, "likely")
-    return with_both(likely, "set").mapInArrow(_verified(percent), "a binary, b binary")
+    return map_batches(with_both(likely, "set"), _verified(percent), "a binary, b binary")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -204,17 +204,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_key().alias("text_key"), F.col("text")
     )
     sketch = T.StructField("sketch", T.ArrayType(T.LongType()))
-    rows = staged(texts.mapInArrow(_scan(width, size, False), _row_schema(sketch)), "sketches")
+    rows = staged(map_batches(texts, _scan(width, size, False), _row_schema(sketch)), "sketches")
     classes = staged(_classes(rows), "classes")
     lists = staged(_lists(classes), "lists")
     listed = classes.join(lists.select("node").distinct(), "node", "left_semi")
     wanted = staged(listed.select(F.col("least.id").alias("id"), F.col("least.text_key").alias("text_key")), "wanted")
-    full = (
-        texts.join(counted_broadcast(wanted), ["id", "text_key"], "left_semi")
-        .mapInArrow(_scan(width, size, True), _row_schema(T.StructField("set", T.BinaryType())))
-        .groupBy("node")
-        .agg(F.first("set").alias("set"))
-    )
+    again = texts.join(counted_broadcast(wanted), ["id", "text_key"], "left_semi")
+    whole = map_batches(again, _scan(width, size, True), _row_schema(T.StructField("set", T.BinaryType())))
+    full = whole.groupBy("node").agg(F.first("set").alias("set"))
     members = staged(full.join(listed.select("node", "sketch"), "node"), "members")
     found = _components(lists, members, percent, size)
 

@@ -11,6 +11,8 @@ from counterscope.llm.chat import chat_digest, chat_examples
 from counterscope.llm.exact_dup import exact_duplicates
 from counterscope.llm.mixing import mix
 from counterscope.llm.near_dup import near_duplicates
+from counterscope.llm.quality import fold, quality
+from counterscope.llm.toxicity import toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -147,3 +149,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT -1L AS conv_id, t AS turn, IF(t = 0, 'user', 'assistant') AS role FROM (SELECT explode(array(0L, 1L)) AS t)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digest(chat_examples(rows.unionByName(own.withColumn("text", F.lit(control)))))
+
+
+@query()
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality(docs, table(spark, sf_dir, "labels"))
+    good = (F.col("quality_score") >= 0.3).cast("int")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), F.col("quality_score").alias("score"), good.alias("predicted"))
+
+
+@query()
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    bad = (F.col("toxicity_score") >= 0.3).cast("int")
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), F.col("toxicity_score").alias("score"), bad.alias("predicted"))

@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import counterscope
 from counterscope.session import shared_folder
 
 # A broadcast side is counted first; its rows are a few numbers each.
 BROADCAST_LIMIT = 200_000
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(counterscope.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "counterscope-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder, to be deleted when the session ends, and read it back.
 
