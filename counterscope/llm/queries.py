@@ -11,6 +11,7 @@ from counterscope.llm.chat import chat_digest, chat_examples
 from counterscope.llm.exact_dup import exact_duplicates
 from counterscope.llm.mixing import mix
 from counterscope.llm.near_dup import near_duplicates
+from counterscope.llm.neighbours import nearest
 from counterscope.llm.quality import fold, quality
 from counterscope.llm.toxicity import toxicity
 
@@ -165,3 +166,8 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(docs, table(spark, sf_dir, "labels"))
     bad = (F.col("toxicity_score") >= 0.3).cast("int")
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), F.col("toxicity_score").alias("score"), bad.alias("predicted"))
+
+
+@query()
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)

@@ -20,7 +20,7 @@ BROADCAST_LIMIT = 200_000
 _shipped: set[str] = set()
 
 
-def _ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that their Python workers can import it."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
@@ -39,7 +39,7 @@ def _ship(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
-    _ship(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
