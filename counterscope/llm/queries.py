@@ -12,6 +12,7 @@ from counterscope.llm.exact_dup import exact_duplicates
 from counterscope.llm.mixing import mix
 from counterscope.llm.near_dup import near_duplicates
 from counterscope.llm.neighbours import nearest
+from counterscope.llm.packing import default_ranks, pack_documents
 from counterscope.llm.quality import fold, quality
 from counterscope.llm.toxicity import toxicity
 
@@ -171,3 +172,9 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+@query()
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = pack_documents(table(spark, sf_dir, "documents"), capacity=1024, ranks=default_ranks())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
