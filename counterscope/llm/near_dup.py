@@ -6,11 +6,14 @@
    k = 64 and a similarity of 0.85 a pair misses that once in 10^10), so with values ordered from rare to
    frequent, both meet in the first half of that order. Only these values are listed: values held once need
    no list, and passages many texts share drop out unless they are most of the text.
-3. Inverted lists yield pairs in rounds. In a round some members of every list, the leaders, are compared with
+3. The full sets of listed texts tell how many of a text's shingles no other one holds. They bound the overlap a
+   text can have with any other, so copies with too many edits of their own are ruled out without being compared.
+4. Inverted lists yield pairs in rounds. In a round some members of every list, the leaders, are compared with
    all members of other components, and then leave the list; lists that came together in one component are done. Leaders
-   multiply by four each round, so every list is exhausted, but a group of near copies collapses after the first.
-4. A pair passes if the overlap estimated from its union sketch is within reach, then its full sets are compared.
-5. Links are joined to components by label spreading.
+   are the members with fewest shingles of their own, and multiply by four each round: every list is exhausted, but
+   a group of near copies comes together in the first.
+5. A pair passes if the overlap estimated from its union sketch is within reach, then its full sets are compared.
+6. Links are joined to components by label spreading.
 """
 
 from __future__ import annotations
@@ -146,25 +149,38 @@ def _lists(classes: DataFrame) -> DataFrame:
         held.join(often, "value")
         .withColumn("place", alone + F.row_number().over(order))
         .filter(F.expr("place <= length - length div 2 + 1"))
-        .join(classes.select("node", "n"), "node")
-        .select("value", "node", "n")
+        .select("value", "node")
     )
 
 
+def _alone(members: DataFrame) -> DataFrame:
+    """How many shingles of a member no other member holds (node, alone); members without such are not listed."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, found in zip(batch.column("owner"), batch.column("set")):
+                own = np.frombuffer(found.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), owner.as_py()))], ["value", "owner"])
+
+    numbered = members.select("owner", "node")
+    held = map_batches(members.select("owner", "set"), values, "value long, owner long")
+    single = held.groupBy("value").agg(F.count("*").alias("holders"), F.min("owner").alias("owner")).filter("holders = 1")
+    return single.groupBy("owner").agg(F.count("*").alias("alone")).join(numbered, "owner").select("node", "alone")
+
+
 def _components(lists: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame | None:
-    """Components over all links between list members, or None if there is no link."""
+    """Components over all links between members of lists (value, node, n, alone), or None if there is no link."""
     links, found, leaders = None, None, 1
     lists = lists.withColumn("component", F.col("node"))
     while True:
         part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        first = staged(
-            lists.groupBy("value", part.alias("part")).agg(F.min(F.struct("node", "n", "component")).alias("leader")).drop("part"),
-            "leaders",
-        )
-        ratio = F.least("n", "leader.n") * 100 >= F.greatest("n", "leader.n") * percent
+        leader = F.min(F.struct("alone", "node", "n", "component")).alias("leader")
+        first = staged(lists.groupBy("value", part.alias("part")).agg(leader).select(F.col("value").alias("of"), "leader"), "leaders")
+        most = F.least(F.col("n") - F.col("alone"), F.col("leader.n") - F.col("leader.alone"))
+        able = 100 * most >= percent * (F.col("n") + F.col("leader.n") - most)
+        apart = F.col("component") != F.col("leader.component")
         pairs = (
-            lists.join(first, "value")
-            .filter((F.col("component") != F.col("leader.component")) & ratio)
+            lists.join(first, (F.col("value") == F.col("of")) & apart & able)
             .select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
             .distinct()
         )
@@ -172,15 +188,15 @@ def _components(lists: DataFrame, members: DataFrame, percent: int, size: int) -
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             found = components(links)
-        gone = first.select("value", F.col("leader.node").alias("node"))
+        gone = first.select(F.col("of").alias("value"), F.col("leader.node").alias("node"))
         lists = lists.drop("component").join(gone, ["value", "node"], "left_anti")
         if found is not None:
             lists = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             lists = lists.withColumn("component", F.col("node"))
-        lists = staged(lists, "lists")
-        apart = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        lists = staged(lists.join(apart.filter("low < high").select("value"), "value", "left_semi"), "lists")
+        ends = F.min("component").alias("low"), F.max("component").alias("high")
+        open_ = lists.groupBy("value").agg(*ends).filter("low < high").select("value")
+        lists = staged(lists.join(open_, "value", "left_semi"), "lists")
         if lists.isEmpty():
             return found
         leaders *= 4
@@ -212,7 +228,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
     again = texts.join(counted_broadcast(wanted), ["id", "text_key"], "left_semi")
     whole = map_batches(again, _scan(width, size, True), _row_schema(T.StructField("set", T.BinaryType())))
     full = whole.groupBy("node").agg(F.first("set").alias("set"))
-    members = staged(full.join(listed.select("node", "sketch"), "node"), "members")
+    members = full.join(listed.select("node", "n", "sketch"), "node").withColumn("owner", F.monotonically_increasing_id())
+    members = staged(members, "members")
+    able = members.select("node", "n").join(_alone(members), "node", "left").fillna(0, ["alone"])
+    able = able.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    lists = staged(lists.join(able, "node").select("value", "node", "n", "alone"), "lists")
     found = _components(lists, members, percent, size)
 
     known = classes.select("node", "least", "copies")

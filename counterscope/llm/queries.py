@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from counterscope.llm.chat import chat_digest, chat_examples
 from counterscope.llm.exact_dup import exact_duplicates
+from counterscope.llm.line_dedup import BLOCK, HIDDEN, HOST, drop_boilerplate
+from counterscope.llm.lm_score import lm_scores
 from counterscope.llm.mixing import mix
 from counterscope.llm.near_dup import near_duplicates
 from counterscope.llm.neighbours import nearest
@@ -178,3 +180,64 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = pack_documents(table(spark, sf_dir, "documents"), capacity=1024, ranks=default_ranks())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+_OP8 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents)
+), counts AS (
+  SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM words GROUP BY word
+), known AS (
+  SELECT word, n * 131072 >= total AS often, n, total FROM counts
+), tokens AS (
+  SELECT w.doc_id, w.place, CASE WHEN k.often THEN w.word END AS word, k.total FROM words w JOIN known k USING (word)
+), singles AS (
+  SELECT word, count(*) AS n FROM tokens GROUP BY word
+), steps AS (
+  SELECT doc_id, place, word, total, lag(word) OVER d AS before, lag(place) OVER d IS NOT NULL AS inner_
+  FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY place)
+), pairs AS (
+  SELECT before, word, count(*) AS n FROM steps WHERE inner_ GROUP BY before, word
+), scored AS (
+  SELECT s.doc_id, s.inner_ AND p.n < 2 AS backoff,
+    CASE WHEN NOT s.inner_ THEN log10(w.n / s.total) WHEN p.n >= 2 THEN log10(p.n / v.n) ELSE log10(0.4 * w.n / s.total) END AS score
+  FROM steps s JOIN singles w ON s.word IS NOT DISTINCT FROM w.word
+  LEFT JOIN singles v ON s.inner_ AND s.before IS NOT DISTINCT FROM v.word
+  LEFT JOIN pairs p ON s.inner_ AND s.before IS NOT DISTINCT FROM p.before AND s.word IS NOT DISTINCT FROM p.word
+)
+SELECT d.doc_id, count(s.score) AS n_words, count(*) FILTER (s.backoff) AS n_backoff, round(avg(s.score), 6) AS log10_mean
+FROM documents d LEFT JOIN scored s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query(_OP8)
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "n_backoff", F.round("log10_mean", 6).alias("log10_mean"))
+
+
+_OP9 = rf"""
+WITH read AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{HIDDEN}', ' ', 'g'),
+      '{BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
+      lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM pages
+), once AS (
+  SELECT host, unnest(list_distinct(lines)) AS line FROM read WHERE host IS NOT NULL
+), often AS (
+  SELECT c.host, list(c.line) AS drops FROM (SELECT host, line, count(*) AS having_ FROM once GROUP BY host, line) c
+  JOIN (SELECT host, count(*) AS pages FROM read GROUP BY host) t USING (host)
+  WHERE c.having_ >= 3 AND c.having_ > 0.3::DOUBLE * t.pages GROUP BY c.host
+)
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text
+FROM (SELECT page_id, r.host, lines, CASE WHEN drops IS NULL THEN lines
+  ELSE list_filter(lines, lambda x: NOT list_contains(drops, x)) END AS kept FROM read r LEFT JOIN often o ON r.host = o.host)
+"""
+
+
+@query(_OP9)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "pages"))
