@@ -210,6 +210,12 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50
     return theta[:-1], theta[-1]
 
 
+def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """Keep documents whose score is at least ``least``; all columns stay."""
+    scored = quality(docs, labels, name="__quality")
+    return scored.filter(F.col("__quality") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def fold(parts: int, id_column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts
@@ -256,10 +262,11 @@ def train(sample: DataFrame, lines: int = 200) -> LineChain:
     return fit(every[:, 1:], every[:, 0], np.concatenate([[0], np.cumsum([len(p) for p in parts])]), labels)
 
 
-def score(docs: DataFrame, chain: LineChain) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``, from the whole text alone. Null text counts as empty and gets
-    the score of a share of one half."""
-    name = "quality_score"
+def score(docs: DataFrame, chain: LineChain, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``name``, the score from the whole text alone; a column of that name is replaced.
+
+    Null text counts as empty and gets the score of a share of one half.
+    """
     rest = [f for f in docs.schema.fields if f.name != name]
     columns = [F.col(f"`{f.name}`") for f in rest]
 
@@ -274,11 +281,13 @@ def score(docs: DataFrame, chain: LineChain) -> DataFrame:
     return map_batches(docs.select(*columns), run, T.StructType([*rest, T.StructField(name, T.DoubleType())]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, parts: int = 5) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, parts: int = 5, name: str = "quality_score"
+) -> DataFrame:
     """Score documents (doc_id, text) after training on labels (doc_id, quality) of ids outside fold 0 of ``parts``.
 
-    At most ``sample`` labelled texts train the model. All columns of ``docs`` come back with quality_score
+    At most ``sample`` labelled texts train the model. All columns of ``docs`` come back with ``name``
     (0 to 1, higher is better). Without labels of both kinds the score is their smoothed rate.
     """
     chosen = labelled_sample(docs, labels, "quality", fold(parts) != 0, sample)
-    return score(docs, train(chosen))
+    return score(docs, train(chosen), name)
