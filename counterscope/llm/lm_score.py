@@ -55,9 +55,10 @@ def spread(pairs: np.ndarray) -> np.ndarray:
         return pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` texts and about ``size`` bytes, which bounds the memory of a task."""
     for whole in batches:
-        step = max(1, min(rows, rows * (1 << 24) // max(1, whole.nbytes)))
+        step = max(1, min(rows, whole.num_rows * size // max(1, whole.nbytes)))
         for at in range(0, whole.num_rows, step):
             yield whole.slice(at, step)
 
@@ -89,10 +90,29 @@ class Numbers:
 def _vocabulary(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted hashes of words that make up at least 1 / size of all, the counts by number (unknown first), all words."""
 
+    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        hashes, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(hashes)
+        known, first = np.unique(hashes[order], return_index=True)
+        return known, np.add.reduceat(n[order], first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, n = _unique(Words(batch.column("text")).hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["word", "n"])
+        parts, size = [], 0
+        for batch in _slices(batches):
+            parts.append(_unique(Words(batch.column("text")).hashes))
+            size += len(parts[-1][0])
+            if size > 1_000_000:
+                parts = [summed(parts)]
+                size = len(parts[0][0])
+            if size > 700_000:
+                yield rows(parts)
+                parts, size = [], 0
+        if size:
+            yield rows(parts)
+
+    def rows(parts: list) -> pa.RecordBatch:
+        hashes, n = summed(parts)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["word", "n"])
 
     words = map_batches(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = staged(words, "words")
@@ -109,7 +129,7 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(vocabulary)
-        for batch in batches:
+        for batch in _slices(batches):
             pairs, n = _unique(numbers.read(batch.column("text"))[3])
             keep = n * 2 * heavy >= n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(n[keep])], ["pair", "n"])
