@@ -272,7 +272,7 @@ def score(docs: DataFrame, chain: LineChain, name: str = "quality_score") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, min(512, 512 * (1 << 23) // max(1, whole.nbytes)))
+            step = max(1, min(512, whole.num_rows * (1 << 22) // max(1, whole.nbytes)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 result = chain.probability(chain.shares(*line_features(batch.column("text"))))

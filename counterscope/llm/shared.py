@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package, for columns of any name."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -96,7 +103,7 @@ def components(links: DataFrame) -> DataFrame:
     there = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = staged(there.distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
-    while True:
+    for turn in itertools.count():
         least = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -106,6 +113,9 @@ def components(links: DataFrame) -> DataFrame:
         step = staged(labels.join(least, "node").select("node", old, F.least("component", "least").alias("component")), "labels")
         if step.filter(F.col("old") != F.col("component")).isEmpty():
             return step.select("node", "component")
+        if turn < 2:  # most components are stars, and done by now
+            labels = step.select("node", "component")
+            continue
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         further = F.least("component", "further").alias("component")
         labels = staged(step.join(jump, "component").select("node", further), "labels")

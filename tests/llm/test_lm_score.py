@@ -1,0 +1,49 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from counterscope.llm.lm_score import lm_scores
+from tests.llm.helpers import CLASHING, documents
+from tests.llm.test_words import WORD, lowered
+
+
+def brute(rows, least, alpha, vocabulary):
+    texts = [WORD.findall(lowered(r[1] or "")) for r in rows]
+    counts = Counter(w for t in texts for w in t)
+    total = sum(counts.values())
+    texts = [[w if counts[w] * vocabulary >= total else None for w in t] for t in texts]
+    one = Counter(w for t in texts for w in t)
+    two = Counter(p for t in texts for p in zip(t, t[1:]))
+    out = []
+    for r, t in zip(rows, texts):
+        logs, backed = [math.log10(one[t[0]] / total)] if t else [], 0
+        for v, w in zip(t, t[1:]):
+            if two[v, w] >= least:
+                logs.append(math.log10(two[v, w] / one[v]))
+            else:
+                logs.append(math.log10(alpha * one[w] / total))
+                backed += 1
+        out.append((r[0], len(t), backed, sum(logs) if t else None))
+    return sorted(out, key=lambda x: repr(x[:3]))
+
+
+@pytest.mark.parametrize(("vocabulary", "heavy", "least"), [(1 << 17, 1 << 15, 2), (60, 20, 2), (100, 1, 3)])
+def test_scores_equal_brute_force(spark, vocabulary, heavy, least):
+    rnd = random.Random(10)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 500}"
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(0, 120)))) for i in range(200)]
+    rows += [(300, None), (301, " "), (302, "A b A b"), (302, "A b A b"), (302, "a  B\ta\nb"), (None, "no id"), (None, "no id")]
+    rows += [(303, "hot pair " * 3000)]
+    got = lm_scores(documents(spark, rows, CLASHING), least=least, vocabulary=vocabulary, heavy=heavy).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_backoff, r.log10_sum) for r in got), key=lambda x: repr(x[:3]))
+    want = brute(rows, least, 0.4, vocabulary)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    for g, w in zip(got, want):
+        assert (g[3] is None) == (w[3] is None) and (w[3] is None or g[3] == pytest.approx(w[3], abs=1e-7))
+
+
+def test_empty_table(spark):
+    assert lm_scores(documents(spark, []).limit(0)).count() == 0
+    assert [r.log10_mean for r in lm_scores(documents(spark, [(1, None)])).collect()] == [None]
