@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterscope.functions.keys import IS_EMPTY, is_empty, query_key, text_contains, with_text
-from counterscope.schema import COUNTERS, KEY, PERFORMANCE_SCHEMA
+from counterscope.schema import COUNTERS, KEY, PERFORMANCE_SCHEMA, require_ansi
 from counterscope.sources.snapshots import scan_keys, snapshot_index
 
 
@@ -33,6 +33,7 @@ def clean(
     case_sensitive: bool = True,
 ) -> DataFrame:
     """Filtered snapshot rows with key columns, duplicates not merged yet."""
+    require_ansi(snapshots.sparkSession)
     kept = filter_text(snapshots, query_filter, case_sensitive)
     return filter_schema(scan_keys(kept), ignore_performance_schema)
 
@@ -58,6 +59,7 @@ def dedup(keyed: DataFrame, counters: Sequence[str] = COUNTERS, key: Sequence[st
 
     The sums combine on the map side, so copies of one key, however many, shrink before the shuffle.
     """
+    require_ansi(keyed.sparkSession)
     rows = keyed.groupBy("server_id", "collection_seq", *key).agg(
         F.max("collected_time").alias("collected_time"),
         *[merged(c).alias(c) for c in counters],
@@ -70,9 +72,15 @@ def collect_clean(
     query_filter: str = "",
     ignore_performance_schema: bool = False,
     counters: Sequence[str] = COUNTERS,
+    case_sensitive: bool = True,
 ) -> DataFrame:
     """Scan, filter and merge in one go."""
-    return dedup(clean(snapshots, query_filter, ignore_performance_schema), counters)
+    return dedup(clean(snapshots, query_filter, ignore_performance_schema, case_sensitive), counters)
+
+
+def without_repeats(keyed: DataFrame) -> DataFrame:
+    """Drop rows delivered again: a row is known by server, snapshot, key and its ordinal."""
+    return keyed.dropDuplicates(["server_id", "collection_seq", *KEY, "row_ordinal"])
 
 
 def dedup_audit(keyed: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from counterscope.session import counted_side
 # sending every 64th snapshot twice.
 SPAN = 64
 
-# The first two counters decide whether a pair is valid; the others may fall without it being rejected.
-_CHECKED = 2
+# These decide whether a pair is valid; other counters may fall without it being rejected.
+_CHECKED = ("count_star", "sum_timer_wait")
 
 
 def _before(counter: str) -> str:
@@ -34,13 +34,14 @@ def _classified(
     of a negative difference.
     """
     micros = "(unix_micros(end_time) - unix_micros(start_time))"
-    fell = [f"{c} < {_before(c)}" for c in counters]
-    rose = [f"{c} > {_before(c)}" for c in counters]
+    fell = " or ".join(f"{c} < {_before(c)}" for c in _CHECKED)
+    rose = " and ".join(f"{c} > {_before(c)}" for c in _CHECKED)
+    others = " or ".join(f"{c} < {_before(c)}" for c in counters if c not in _CHECKED) or "false"
     outcome = f"""
         case when {IS_EMPTY} then 'empty'
              when {micros} = 0 then 'zero_duration'
-             when {" or ".join(fell[:_CHECKED])} then 'reset'
-             when {" and ".join(rose[:_CHECKED])} then 'kept'
+             when {fell} then 'reset'
+             when {rose} then 'kept'
              else 'no_progress' end"""
     gap = "{c} - {b}"
     if wrap_unsigned:
@@ -52,7 +53,7 @@ def _classified(
         F.expr(f"{micros} / 1e6D").alias("duration_s"),
         *with_text(key),
         *[F.expr(gap.format(c=c, b=_before(c))).alias(c) for c in counters],
-        F.expr(" or ".join(fell[_CHECKED:])).alias("negative_counter"),
+        F.expr(others).alias("negative_counter"),
         F.expr(outcome).alias("outcome"),
     )
 
@@ -114,6 +115,7 @@ def delta_of(
     later: DataFrame,
     counters: Sequence[str] = COUNTERS,
     on: Sequence[str] = ("server_id", *KEY),
+    wrap_unsigned: bool = False,
 ) -> DataFrame:
     """Difference any two merged snapshots by joining on the key; keys in only one of them drop out."""
     old = earlier.select(
@@ -123,15 +125,15 @@ def delta_of(
         *[F.col(c).alias(_before(c)) for c in counters],
     )
     new = later.select(*on, F.col("collected_time").alias("end_time"), *counters)
-    return _classified(old.join(new, list(on)), counters)
+    return _classified(old.join(new, list(on)), counters, wrap_unsigned=wrap_unsigned)
 
 
-def deltas_join(deduped: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+def deltas_join(deduped: DataFrame, counters: Sequence[str] = COUNTERS, wrap_unsigned: bool = False) -> DataFrame:
     """The samples of ``deltas`` by a self-join on key and snapshot number; a cross-check of the window."""
     step = ("server_id", *KEY, "pair_seq")
     earlier = deduped.withColumn("pair_seq", F.col("collection_seq") + 1)
     later = deduped.withColumn("pair_seq", F.col("collection_seq"))
-    return kept(delta_of(earlier, later, counters, on=step))
+    return kept(delta_of(earlier, later, counters, step, wrap_unsigned))
 
 
 def at_ends(cleaned: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def at_ends_of_one(cleaned: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def first_last(ends: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+def first_last(ends: DataFrame, counters: Sequence[str] = COUNTERS, wrap_unsigned: bool = False) -> DataFrame:
     """Activity of each key over the whole period: last snapshot minus first.
 
     Takes the rows of ``at_ends``. Merging duplicates and pairing both ends happen in one aggregation.
@@ -186,4 +188,4 @@ def first_last(ends: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame
         *[merged(c, "is_first").alias(_before(c)) for c in counters],
     )
     met = pairs.where("start_time is not null and end_time is not null")
-    return kept(_classified(met, counters))
+    return kept(_classified(met, counters, wrap_unsigned=wrap_unsigned))

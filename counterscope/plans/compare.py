@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from counterscope.operators.clean import clean, dedup
 from counterscope.operators.deltas import at_ends_of_one, deltas, first_last
 from counterscope.operators.dictionary import texts_of
-from counterscope.operators.metrics import metric_stats, metrics_arrays, metrics_long, stat_columns, stat_rows
+from counterscope.operators.metrics import (
+    CHUNK,
+    empty_arrays,
+    metric_stats,
+    metrics_arrays,
+    metrics_long,
+    stat_columns,
+    stat_rows,
+)
 from counterscope.operators.ranking import topn
 from counterscope.schema import COUNTERS, DEFAULT_TOP_N
-from counterscope.session import materialized, small_side
+from counterscope.session import counted_side, materialized, small_side
 
 
 @dataclass(frozen=True)
@@ -28,6 +36,8 @@ class Comparison:
     query_filter: str = ""
     ignore_performance_schema: bool = False
     counters: tuple[str, ...] = COUNTERS
+    case_sensitive: bool = True
+    wrap_unsigned: bool = False
 
     @property
     def base_server(self) -> int:
@@ -35,7 +45,7 @@ class Comparison:
 
     def cleaned(self) -> DataFrame:
         log = self.snapshots.where(F.col("server_id").isin(*self.server_ids))
-        return clean(log, self.query_filter, self.ignore_performance_schema)
+        return clean(log, self.query_filter, self.ignore_performance_schema, self.case_sensitive)
 
     def base_log(self) -> DataFrame:
         return self.snapshots.where(F.col("server_id") == self.base_server)
@@ -43,8 +53,8 @@ class Comparison:
     def period(self) -> DataFrame:
         """First-to-last activity of the base server only; the other servers' rows are not read."""
         own = self.base_log()
-        filtered = clean(own, self.query_filter, self.ignore_performance_schema)
-        return first_last(at_ends_of_one(filtered, own), self.counters)
+        filtered = clean(own, self.query_filter, self.ignore_performance_schema, self.case_sensitive)
+        return first_last(at_ends_of_one(filtered, own), self.counters, self.wrap_unsigned)
 
     @cached_property
     def top_keys(self) -> DataFrame:
@@ -66,7 +76,7 @@ class Comparison:
         ranks = small_side(self.top_keys.select("digest", "schema_name", "query_rank"), self.top_n)
         rows = self.cleaned().join(ranks, ["digest", "schema_name"])
         by_rank = ("query_rank",)
-        return deltas(dedup(rows, self.counters, by_rank), self.counters, by_rank)
+        return deltas(dedup(rows, self.counters, by_rank), self.counters, by_rank, self.wrap_unsigned)
 
     def grid(self) -> DataFrame:
         """Each top key on each server, present there or not: ``top_n`` times servers rows."""
@@ -77,16 +87,21 @@ class Comparison:
 
     def values(self) -> DataFrame:
         grid = small_side(self.grid(), self.top_n * len(self.server_ids))
-        return metrics_long(grid, self.samples())
+        return metrics_long(grid, materialized(self.samples()), self.counters)
 
-    def arrays(self) -> DataFrame:
-        return metrics_arrays(self.samples(), ["query_rank", "server_id"])
+    def arrays(self, chunk: int = CHUNK) -> DataFrame:
+        """Value series; a key that is absent on a server has one empty series per metric."""
+        pair = ["query_rank", "server_id"]
+        samples = materialized(self.samples())
+        series = metrics_arrays(samples, pair, chunk, self.counters)
+        absent = self.grid().join(samples.select(*pair).distinct(), pair, "left_anti")
+        return series.unionByName(empty_arrays(absent.select(*pair), pair, self.counters))
 
     def metrics(self) -> DataFrame:
         """Long form: one row per query, server and metric."""
-        stats = self.samples().groupBy("query_rank", "server_id").agg(*stat_columns())
+        stats = self.samples().groupBy("query_rank", "server_id").agg(*stat_columns(self.counters))
         present = self.grid().join(stats, ["query_rank", "server_id"], "left")
-        return stat_rows(present, ["query_rank", "query_key", "server_id"])
+        return stat_rows(present, ["query_rank", "query_key", "server_id"], self.counters)
 
     def wide(self) -> DataFrame:
         """Servers side by side: ``n_<id>``, ``avg_<id>`` and ``stddev_<id>`` per server."""
@@ -110,9 +125,15 @@ def compare_servers(
     top_n: int = DEFAULT_TOP_N,
     query_filter: str = "",
     ignore_performance_schema: bool = False,
+    **settings,
 ) -> DataFrame:
-    """Mean and spread of eleven metrics for the busiest queries, one row per query and metric."""
-    return Comparison(snapshots, tuple(server_ids), top_n, query_filter, ignore_performance_schema).wide()
+    """Mean and spread of the metrics of the busiest queries, one row per query and metric.
+
+    ``settings`` are the other ones of ``Comparison``: counters, case_sensitive, wrap_unsigned.
+    """
+    return Comparison(
+        snapshots, tuple(server_ids), top_n, query_filter, ignore_performance_schema, **settings
+    ).wide()
 
 
 def profile_server(snapshots: DataFrame, server_id: int, top_n: int = DEFAULT_TOP_N, **settings) -> DataFrame:
@@ -129,19 +150,21 @@ def compare_pct(wide: DataFrame, server_ids: Sequence[int]) -> DataFrame:
     return wide.select("query_rank", "query_key", "metric_ord", "metric", base, *others)
 
 
-def all_key_stats(snapshots: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:
+def all_key_stats(
+    snapshots: DataFrame, counters: Sequence[str] = COUNTERS, wrap_unsigned: bool = False
+) -> DataFrame:
     """Statistics of every key on every server."""
-    return metric_stats(deltas(dedup(clean(snapshots), counters), counters))
+    samples = deltas(dedup(clean(snapshots), counters), counters, wrap_unsigned=wrap_unsigned)
+    return metric_stats(samples, counters=counters)
 
 
-def error_detail(statements: DataFrame, keys: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
+def error_detail(statements: DataFrame, keys: DataFrame) -> DataFrame:
     """Errors and warnings of the top keys by error number, from a statement history.
 
-    ``statements`` has ``server_id, digest, schema_name, errno, errors, warnings``; ``keys`` has at most
-    ``top_n`` rows. A key without any
-    keeps one row with NULL server and number and zero counts.
+    ``statements`` has ``server_id, digest, schema_name, errno, errors, warnings``. A key without any keeps one row
+    with NULL server and number and zero counts.
     """
-    wanted = small_side(keys.select("digest", "schema_name"), top_n)
+    wanted = counted_side(keys.select("digest", "schema_name"))
     found = (
         statements.where((F.col("errors") > 0) | (F.col("warnings") > 0))
         .join(wanted, ["digest", "schema_name"], "left_semi")

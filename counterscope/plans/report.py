@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterscope.functions.text import metric_cell, padded, picosecond_time, steady
+from counterscope.schema import COUNTERS
+from counterscope.session import materialized
 
 # Column widths and separators of the report.
 _NAME_WIDTH = 40
@@ -35,41 +37,47 @@ def _query_line(keys: DataFrame) -> DataFrame:
     )
 
 
+def _joined(cells: DataFrame, ids: Sequence[str], width: int) -> DataFrame:
+    """Cells (position, cell) of each line side by side in order of position."""
+    in_order = F.array_sort(F.collect_list(F.struct("position", padded(F.col("cell"), width).alias("cell"))))
+    return cells.groupBy(*ids).agg(F.array_join(F.transform(in_order, lambda c: c["cell"]), _SEPARATOR).alias("cells"))
+
+
 def _server_line(keys: DataFrame, servers: DataFrame, server_ids: Sequence[int]) -> DataFrame:
-    # One row holding every name, repeated under each query by way of its rank.
-    names = servers.agg(
-        *[F.max(F.when(F.col("server_id") == s, F.col("short_name"))).alias(f"name_{s}") for s in server_ids],
-        F.lit(_SERVER_LINE).alias("line_no"),
-    )
-    cells = [padded(F.coalesce(F.col(f"name_{s}"), F.lit("")), _NAME_WIDTH) for s in server_ids]
-    line = F.concat(F.lit("Server:            "), F.concat_ws(_SEPARATOR, *cells))
+    """The servers' names under each query: one row holding every name, repeated by way of its rank."""
+    asked = keys.sparkSession.createDataFrame(list(enumerate(server_ids)), "position int, server_id int")
+    names = F.coalesce("short_name", F.lit("")).alias("cell")
+    named = asked.join(servers.select("server_id", "short_name"), "server_id", "left").select("position", names)
+    row = _joined(named.withColumn("line_no", F.lit(_SERVER_LINE)), ["line_no"], _NAME_WIDTH)
     ranks = keys.select("query_rank", F.lit(_SERVER_LINE).alias("line_no"))
-    return ranks.join(F.broadcast(names), "line_no").select("query_rank", "line_no", line.alias("line"))
+    line = F.concat(F.lit("Server:            "), F.col("cells")).alias("line")
+    return ranks.join(F.broadcast(row), "line_no").select("query_rank", "line_no", line)
 
 
-def _metric_line(wide: DataFrame, server_ids: Sequence[int]) -> DataFrame:
+def _metric_line(metrics: DataFrame, server_ids: Sequence[int]) -> DataFrame:
+    """Cells are formatted in the long form, by one expression for all servers."""
+    place = F.array_position(F.array(*[F.lit(i) for i in server_ids]), F.col("server_id"))
+    values = metrics.withColumns({v: steady(F.col(v)) for v in ("avg", "stddev")})
+    cells = values.select(
+        "query_rank", "metric_ord", "metric", place.alias("position"), metric_cell("avg", "stddev").alias("cell")
+    )
     heading = padded(F.concat(F.lit("  Avg "), F.col("metric"), F.lit(":")), _HEADING_WIDTH)
-    cells = [
-        padded(metric_cell(f"avg_{s}", f"stddev_{s}"), _CELL_WIDTH)
-        for s in server_ids
-    ]
-    values = [f"{stat}_{s}" for s in server_ids for stat in ("avg", "stddev")]
-    return wide.withColumns({v: steady(F.col(v)) for v in values}).select(
+    return _joined(cells, ["query_rank", "metric_ord", "metric"], _CELL_WIDTH).select(
         "query_rank",
         (F.col("metric_ord") + (_FIRST_METRIC_LINE - 1)).alias("line_no"),
-        F.concat(heading, F.lit(" "), F.concat_ws(_SEPARATOR, *cells)).alias("line"),
+        F.concat(heading, F.lit(" "), F.col("cells")).alias("line"),
     )
 
 
 def report_lines(
-    wide: DataFrame, top_texts: DataFrame, servers: DataFrame, server_ids: Sequence[int]
+    metrics: DataFrame, top_texts: DataFrame, servers: DataFrame, server_ids: Sequence[int]
 ) -> DataFrame:
-    """The comparison as text, ordered by ``query_rank, line_no``."""
+    """The comparison in its long form as text, ordered by ``query_rank, line_no``."""
     return (
         _headline(top_texts)
         .unionByName(_query_line(top_texts))
         .unionByName(_server_line(top_texts, servers, server_ids))
-        .unionByName(_metric_line(wide, server_ids))
+        .unionByName(_metric_line(metrics, server_ids))
     )
 
 
@@ -79,9 +87,13 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def server_listing(metrics: DataFrame, servers: DataFrame, sample_counts: DataFrame) -> DataFrame:
-    """Each server's own listing of the top queries, ordered by ``server_id, query_rank, line_no``."""
+    """Each server's own listing of the top queries, ordered by ``server_id, query_rank, line_no``.
+
+    ``metrics`` has a row per top query, server and metric; it is computed once. A server without any keeps its header.
+    """
+    metrics = materialized(metrics)
     ranks = metrics.groupBy("server_id").agg(F.count_distinct("query_rank").cast("string").alias("n_keys"))
-    about = servers.join(sample_counts, "server_id").join(ranks, "server_id")
+    about = servers.join(sample_counts, "server_id").join(ranks, "server_id", "left")
     header = about.select(
         "server_id",
         F.lit(0).alias("query_rank"),
@@ -94,7 +106,7 @@ def server_listing(metrics: DataFrame, servers: DataFrame, sample_counts: DataFr
             F.lit(". Have "),
             F.col("n_samples").cast("string"),
             F.lit(" entries. Looking at top "),
-            F.col("n_keys"),
+            F.coalesce("n_keys", F.lit("0")),
             F.lit(" queries"),
         ).alias("line"),
     )
@@ -126,19 +138,8 @@ def _fields(pairs: Sequence[tuple[str, Column]]) -> Column:
     return F.concat_ws(", ", *[F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in pairs])
 
 
-# Counter order of the sample dump, which puts the timer first.
-_SAMPLE_DUMP = (
-    "sum_timer_wait",
-    "count_star",
-    "sum_errors",
-    "sum_warnings",
-    "sum_rows_affected",
-    "sum_rows_sent",
-    "sum_rows_examined",
-    "sum_select_scan",
-    "sum_no_index_used",
-    "sum_no_good_index_used",
-)
+# The sample dump puts the timer first.
+_SAMPLE_DUMP = (COUNTERS[1], COUNTERS[0], *COUNTERS[2:])
 
 
 def dump_events(deduped: DataFrame, counters: Sequence[str]) -> DataFrame:

@@ -587,7 +587,7 @@ _EVENT_NAMES = [sq.EVENT_SERVERS, sq.server_names("servers")]
 def report_lines(spark, sf_dir):
     comparison = _comparison(spark, sf_dir)
     servers = server_dim(dv.event_servers(spark, sf_dir))
-    return rp.report_lines(comparison.wide(), comparison.top_texts, servers, _SERVERS)
+    return rp.report_lines(comparison.metrics(), comparison.top_texts, servers, _SERVERS)
 
 
 @query(
@@ -651,6 +651,35 @@ def stream_deltas(spark, sf_dir):
     return plain_times(stream.results(spark))
 
 
+@query(sq.with_(*_DELTAS) + _DELTA_SELECT + "deltas")
+def stream_deltas_split(spark, sf_dir):
+    """Every file holds only a part of its snapshots, and a batch takes one file."""
+    root = shared_folder(spark, "stream")
+    stream = SampleStream(f"{root}/in", f"{root}/out", f"{root}/memory")
+    log = dv.event_snapshots(spark, sf_dir)
+    for low, high in ((0, 10), (10, 20), (20, 10**6)):
+        for part in range(2):
+            span = (F.col("collection_seq") > low) & (F.col("collection_seq") <= high + 1 - part)
+            own = span & (F.pmod(F.xxhash64("digest_text"), F.lit(2)) == part)
+            log.where(own).coalesce(1).write.mode("append").parquet(stream.source)
+    stream.start(spark, max_files=1).awaitTermination()
+    return plain_times(stream.results(spark))
+
+
+@query(sq.with_(*_DELTAS) + _DELTA_SELECT + "deltas")
+def stream_deltas_repeated(spark, sf_dir):
+    """The second half comes twice in one run, and its end once more in the next one."""
+    root = shared_folder(spark, "stream")
+    stream = SampleStream(f"{root}/in", f"{root}/out", f"{root}/memory")
+    log = dv.event_snapshots(spark, sf_dir)
+    seq = F.col("collection_seq")
+    for runs in ([seq <= 15], [seq > 15, seq > 15], [seq > 15]):
+        for part in runs:
+            log.where(part).write.mode("append").parquet(stream.source)
+        stream.start(spark).awaitTermination()
+    return plain_times(stream.results(spark))
+
+
 # The same jobs on the log that grows with the data
 
 _ITEM_SERVERS = dv.LINEITEM_SERVERS

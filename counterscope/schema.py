@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # The ten cumulative counters, in the order the digest table reports them.
@@ -87,6 +87,12 @@ def snapshot_schema(counters: Iterable[str] = COUNTERS, counter_type: T.DataType
     return T.StructType(stamp + digest_schema(counters, counter_type).fields)
 
 
+def require_ansi(spark: SparkSession) -> None:
+    """Refuse a session in which integer sums wrap instead of failing."""
+    if spark.conf.get("spark.sql.ansi.enabled", "true").lower() != "true":
+        raise ValueError("counters must not wrap: set spark.sql.ansi.enabled to true")
+
+
 def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     """Fail while the plan is built, not at run time, when an input lacks columns."""
     missing = [c for c in needed if c not in df.columns]

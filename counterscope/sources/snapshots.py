@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ def read_snapshot_log(
     if fmt in ("parquet", "orc"):
         log = spark.read.format(fmt).options(**options).load(path)
         require_columns(log, schema.names)
-        return log.select([F.col(f.name).cast(f.dataType) for f in schema])
+        return log.select([_checked(f) for f in schema])
     reader = spark.read.format(fmt).schema(schema).option("mode", "FAILFAST")
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
@@ -39,15 +39,32 @@ def read_snapshot_log(
     return log.select([_required(f.name) if not f.nullable else F.col(f.name) for f in schema])
 
 
-def _required(name: str):
+def _checked(field: T.StructField) -> Column:
+    """The field in its type, refusing NULL where the log cannot have it.
+
+    Server and snapshot number stay plain columns, so that filters on them still prune files and row groups.
+    """
+    if field.nullable or field.name in ("server_id", "collection_seq"):
+        return F.col(field.name).cast(field.dataType)
+    return _required(field.name).cast(field.dataType).alias(field.name)
+
+
+def _required(name: str) -> Column:
     present = F.col(name).isNotNull()
     return F.when(present, F.col(name)).otherwise(F.raise_error(F.lit(f"snapshot log: no {name}"))).alias(name)
 
 
-def read_digest_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+def read_digest_table(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    counters: Iterable[str] = COUNTERS,
+    counter_type: T.DataType = BIGINT,
+    **options: str,
+) -> DataFrame:
     """One server's digest table over JDBC. Column choice and text filters are pushed to the server."""
     source = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
-    return digest_rows(source)
+    return digest_rows(source, counters, counter_type)
 
 
 def digest_rows(
@@ -57,7 +74,7 @@ def digest_rows(
     lowered = source.select([F.col(c).alias(c.lower()) for c in source.columns])
     schema = digest_schema(counters, counter_type)
     require_columns(lowered, schema.names)
-    return lowered.select([F.col(f.name).cast(f.dataType) for f in schema])
+    return lowered.select([_checked(f) for f in schema])
 
 
 def stamp_snapshot(digest_rows: DataFrame, server_id: int, seq: int, collected: datetime) -> DataFrame:
@@ -71,6 +88,11 @@ def stamp_snapshot(digest_rows: DataFrame, server_id: int, seq: int, collected:
     )
 
 
+def collect_round(tables: Mapping[int, DataFrame], seq: int, collected: datetime) -> DataFrame:
+    """One collection round: snapshot ``seq`` of every server from its digest table."""
+    return append_snapshots(stamp_snapshot(rows, server_id, seq, collected) for server_id, rows in tables.items())
+
+
 def append_snapshots(parts: Iterable[DataFrame]) -> DataFrame:
     """All rows of all snapshots; duplicates stay."""
     return reduce(DataFrame.unionByName, parts)

@@ -145,7 +145,7 @@ def servers(spark):
 def test_report_layout(spark, log, servers, tmp_path):
     rows = series(0, 866, 1732, text="SELECT 1") + series(0, 852, 1704, server=1, text="SELECT 1")
     c = Comparison(log(rows), (0, 1))
-    lines = rp.report_lines(c.wide(), c.top_texts, servers, (0, 1))
+    lines = rp.report_lines(c.metrics(), c.top_texts, servers, (0, 1))
     text = [r.line for r in lines.orderBy("query_rank", "line_no").collect()]
     assert text[:5] == [
         "Looking at top 1 queries",
@@ -162,7 +162,7 @@ def test_report_layout(spark, log, servers, tmp_path):
 
 def test_report_of_an_idle_server_has_only_its_headline(log, servers):
     c = Comparison(log(series(1, 1)), (0, 1))
-    lines = rp.report_lines(c.wide(), c.top_texts, servers, (0, 1))
+    lines = rp.report_lines(c.metrics(), c.top_texts, servers, (0, 1))
     assert [r.line for r in lines.collect()] == ["Looking at top 0 queries"]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from counterscope.operators import clean as cl
 from counterscope.operators import deltas as dl
-from counterscope.schema import COUNTERS
+from counterscope.schema import COUNTERS, UNSIGNED, snapshot_schema
 from counterscope.streaming.incremental import SampleStream
 from tests.test_deltas import busy, random_log, series
 
@@ -46,15 +46,63 @@ def test_many_files_in_one_run_keep_their_order(spark, log, stream):
     assert rows(stream.results(spark)) == rows(dl.deltas(cl.collect_clean(df)))
 
 
-def test_late_and_repeated_snapshots_are_ignored(spark, log, stream):
-    df = log(series(1, 2, 3, 5)).cache()
+def test_late_rows_join_open_snapshots_and_are_listed_for_closed_ones(spark, log, stream):
+    df = log(series(1, 2, 3, 5, 8, 9)).cache()
     at = lambda *seqs: df.where(F.col("collection_seq").isin(*seqs))
     deliver(stream, spark, at(1, 3))
-    deliver(stream, spark, at(2))
+    deliver(stream, spark, at(2))  # the newest but one is still open
     deliver(stream, spark, at(3))
+    deliver(stream, spark, at(6))
     deliver(stream, spark, at(4))
-    got = stream.results(spark).select("sample_seq", "count_star").collect()
-    assert [tuple(r) for r in got] == [(3, 2)]
+    assert rows(stream.results(spark)) == rows(dl.deltas(cl.collect_clean(at(1, 2, 3, 6))))
+    late = stream.late_rows(spark).select("server_id", "collection_seq", "reason").collect()
+    assert [tuple(r) for r in late] == [(0, 4, "snapshot is closed: late or delivered again")]
+
+
+@pytest.mark.parametrize("max_files", [1, 2, None])
+def test_a_snapshot_in_several_files_is_not_cut(spark, log, stream, max_files):
+    df = random_log(log, 13, snapshots=4).cache()
+    for seq in range(1, 5):
+        for part in range(3):
+            own = (F.col("collection_seq") == seq) & (F.col("row_ordinal") % 3 == part)
+            df.where(own).coalesce(1).write.mode("append").parquet(stream.source)
+    stream.start(spark, max_files=max_files).awaitTermination()
+    assert rows(stream.results(spark)) == rows(dl.deltas(cl.collect_clean(df)))
+    assert stream.late_rows(spark).isEmpty()
+
+
+def test_files_delivered_again_change_nothing(spark, log, stream):
+    df = random_log(log, 14, snapshots=5).cache()
+    at = lambda low, high: df.where(F.col("collection_seq").between(low, high))
+    at(1, 2).coalesce(1).write.mode("append").parquet(stream.source)
+    deliver(stream, spark, at(1, 2))  # twice in one run
+    deliver(stream, spark, at(2, 3))  # and again in another
+    deliver(stream, spark, at(4, 5))
+    assert rows(stream.results(spark)) == rows(dl.deltas(cl.collect_clean(df)))
+
+
+def test_a_pair_that_later_rows_reject_is_withdrawn(spark, log, stream):
+    first = {"count_star": 5, "sum_timer_wait": 50}
+    df = log([(0, 1, "q", "s", first), (0, 2, "q", "s", {"count_star": 9, "sum_timer_wait": 90}), (0, 1, "q", "s", first)]).cache()
+    deliver(stream, spark, df.where("row_ordinal < 2"))
+    assert stream.results(spark).count() == 1
+    deliver(stream, spark, df.where("row_ordinal = 2"))  # now 10 executions before 9: a reset
+    assert stream.results(spark).isEmpty() and dl.deltas(cl.collect_clean(df)).isEmpty()
+
+
+def test_unsigned_counters_and_settings(spark, log, tmp_path):
+    big = 2**64 - 10
+    base = log([(0, 1, "Q x", "s", {"sum_errors": 5}), (0, 2, "Q x", "s", {"sum_errors": 3})])
+    grown = F.expr("cast(collection_seq as decimal(20,0))")
+    wide = base.select(*[F.col(c).cast(UNSIGNED).alias(c) if c in COUNTERS else F.col(c) for c in base.columns])
+    wide = wide.withColumns({"count_star": grown + F.lit(str(big)).cast(UNSIGNED), "sum_timer_wait": grown})
+    wide = wide.select([F.col(f.name).cast(f.dataType) for f in snapshot_schema(COUNTERS, UNSIGNED)])
+    folders = [f"{tmp_path}/{x}" for x in ("in", "out", "memory")]
+    stream = SampleStream(*folders, query_filter="q X", case_sensitive=False, counter_type=UNSIGNED, wrap_unsigned=True)
+    deliver(stream, spark, wide.where("collection_seq = 1"))
+    deliver(stream, spark, wide.where("collection_seq = 2"))
+    got = stream.results(spark).select("count_star", "sum_errors").collect()
+    assert [tuple(map(int, r)) for r in got] == [(1, 2**64 - 2)]
 
 
 def test_a_silent_server_keeps_its_last_snapshot(spark, log, stream):
@@ -98,9 +146,13 @@ def test_filters_apply(spark, log, tmp_path):
     assert [r.count_star for r in stream.results(spark).collect()] == [2]
 
 
-def test_memory_holds_one_snapshot_per_server(spark, log, stream):
-    df = log(series(*[busy(i) for i in range(1, 9)])).cache()
+def test_memory_does_not_grow_and_only_arriving_servers_are_written(spark, log, stream):
+    df = log(series(*[busy(i) for i in range(1, 9)]) + series(3, server=7)).cache()
     for seq in range(1, 9):
         stream.take_batch(df.where(F.col("collection_seq") == seq), seq - 1)
-    for slot in (0, 1):
-        assert spark.read.parquet(f"{stream.memory}/slot{slot}").count() == 1
+    kept = spark.read.parquet(f"{stream.memory}/rows")
+    # the silent server's batch, the last one and the one before it
+    assert {r.batch_id for r in kept.select("batch_id").distinct().collect()} == {0, 6, 7}
+    newest = kept.where("batch_id = 7")
+    assert {(r.server_id, r.collection_seq) for r in newest.collect()} == {(0, 6), (0, 7), (0, 8)}
+    assert spark.read.parquet(f"{stream.memory}/slot1").count() == 2
