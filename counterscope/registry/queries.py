@@ -19,7 +19,7 @@ from counterscope.plans import compare as cp
 from counterscope.plans import report as rp
 from counterscope.registry import derived as dv
 from counterscope.registry import oracles as sq
-from counterscope.schema import COUNTERS, EXTRA_COUNTERS
+from counterscope.schema import COUNTERS, EXTRA_COUNTERS, METRIC_NAMES
 from counterscope.session import shared_folder
 from counterscope.sources.servers import server_dim
 from counterscope.sources.snapshots import append_snapshots, scan_digest, scan_keys
@@ -635,6 +635,35 @@ def sample_dump(spark, sf_dir):
     return rp.dump_samples(dl.deltas(_deduped(spark, sf_dir)))
 
 
+@query(
+    sq.with_(
+        sq.event_snapshots(extra=True), sq.keyed(counters=_WIDE_COUNTERS), sq.deduped(_WIDE_COUNTERS), sq.deltas(_WIDE_COUNTERS)
+    )
+    + "\nUNION ALL ".join(
+        f"""SELECT server_id, digest, schema_name, {len(METRIC_NAMES) + i} AS metric_ord, '{c}' AS metric, count(*) AS n,
+        CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM deltas GROUP BY ALL"""
+        for i, c in enumerate(EXTRA_COUNTERS, start=1)
+    )
+)
+def metric_stats_wide(spark, sf_dir):
+    """Counters beyond the default ten are metrics of their own name."""
+    stats = cp.all_key_stats(dv.event_snapshots(spark, sf_dir, extra=True), _WIDE_COUNTERS)
+    extra = stats.where(F.col("metric_ord") > len(METRIC_NAMES))
+    return extra.select("server_id", "digest", "schema_name", "metric_ord", "metric", "n", "min", "max")
+
+
+@query(
+    sq.with_(_COMPARED)
+    + """SELECT query_rank, server_id, sample_seq // 4 AS chunk_no, metric_ord, metric, count(*) AS n_values
+         FROM metric_values WHERE sample_seq IS NOT NULL GROUP BY ALL"""
+)
+def metrics_arrays_chunked(spark, sf_dir):
+    """Series in chunks of four samples."""
+    series = _comparison(spark, sf_dir).arrays(chunk=4).where(F.size("values") > 0)
+    n = F.size("values").cast("long").alias("n_values")
+    return series.select("query_rank", "server_id", "chunk_no", "metric_ord", "metric", n)
+
+
 # Streaming
 
 
@@ -653,15 +682,14 @@ def stream_deltas(spark, sf_dir):
 
 @query(sq.with_(*_DELTAS) + _DELTA_SELECT + "deltas")
 def stream_deltas_split(spark, sf_dir):
-    """Every file holds only a part of its snapshots, and a batch takes one file."""
+    """Snapshots 10 and 20 lie in two files each, and a batch takes one file."""
     root = shared_folder(spark, "stream")
     stream = SampleStream(f"{root}/in", f"{root}/out", f"{root}/memory")
+    half = F.when(F.pmod(F.xxhash64("digest_text"), F.lit(2)) == 0, F.lit(0.5)).otherwise(F.lit(0.0))
+    place = F.col("collection_seq") + half
     log = dv.event_snapshots(spark, sf_dir)
-    for low, high in ((0, 10), (10, 20), (20, 10**6)):
-        for part in range(2):
-            span = (F.col("collection_seq") > low) & (F.col("collection_seq") <= high + 1 - part)
-            own = span & (F.pmod(F.xxhash64("digest_text"), F.lit(2)) == part)
-            log.where(own).coalesce(1).write.mode("append").parquet(stream.source)
+    for low, high in ((0.0, 10.0), (10.0, 20.0), (20.0, 1e6)):
+        log.where((place > low) & (place <= high)).coalesce(1).write.mode("append").parquet(stream.source)
     stream.start(spark, max_files=1).awaitTermination()
     return plain_times(stream.results(spark))
 
