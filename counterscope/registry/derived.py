@@ -169,9 +169,9 @@ def event_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(
         "server_id",
         F.concat(
-            F.lit("user:password@tcp(server"), number, F.lit(".example.com:3306)/performance_schema")
+            F.lit("user:password@tcp(metric"), number, F.lit(".example.com:3306)/performance_schema")
         ).alias("dsn"),
-        F.when(F.col("server_id") == 0, "5.6.25-log").otherwise("5.7.10-log").alias("version"),
+        F.when(F.col("server_id") == 0, "8.0.31-log").otherwise("8.4.2-log").alias("version"),
     )
 
 

@@ -313,9 +313,9 @@ server_dim AS (
 
 
 EVENT_SERVERS = """servers AS (
-  SELECT server_id, concat('user:password@tcp(server', server_id + 1, '.example.com:3306)/performance_schema')
+  SELECT server_id, concat('user:password@tcp(metric', server_id + 1, '.example.com:3306)/performance_schema')
          AS dsn,
-         CASE WHEN server_id = 0 THEN '5.6.25-log' ELSE '5.7.10-log' END AS version
+         CASE WHEN server_id = 0 THEN '8.0.31-log' ELSE '8.4.2-log' END AS version
   FROM (SELECT DISTINCT server_id FROM base))"""
 
 CUSTOMER_SERVERS = """servers AS (

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from counterscope.functions.keys import portable_digest
 from counterscope.schema import BIGINT, COUNTERS, digest_schema, require_columns, snapshot_schema
 
+DIGEST = "digest"
+
 
 def read_snapshot_log(
     spark: SparkSession,
@@ -24,6 +26,7 @@ def read_snapshot_log(
 ) -> DataFrame:
     """Read a snapshot log with its fixed schema; a log that lacks a column is refused.
 
+    A digest that the writer stored comes along, so that the texts need not be read and hashed again.
     Self-describing files are checked by their own schema. CSV is checked by its header and JSON by its
     required fields, both at run time.
     """
@@ -31,7 +34,8 @@ def read_snapshot_log(
     if fmt in ("parquet", "orc"):
         log = spark.read.format(fmt).options(**options).load(path)
         require_columns(log, schema.names)
-        return log.select([_checked(f) for f in schema])
+        stored = [F.col(DIGEST)] if DIGEST in log.columns else []
+        return log.select([_checked(f) for f in schema] + stored)
     reader = spark.read.format(fmt).schema(schema).option("mode", "FAILFAST")
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
@@ -99,13 +103,13 @@ def append_snapshots(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def write_snapshot_log(snapshots: DataFrame, path: str, mode: str = "append") -> None:
-    """Store the log one folder per server, ordered by snapshot inside each file.
+    """Store the log one folder per server, ordered by snapshot inside each file, with the digest of each text.
 
     The rebalance hint lets AQE split a server that holds much of the data over many tasks, and the sort
     lets row groups be skipped when only the end snapshots are read.
     """
     (
-        snapshots.hint("rebalance", "server_id")
+        with_digest(snapshots).hint("rebalance", "server_id")
         .sortWithinPartitions("server_id", "collection_seq")
         .write.mode(mode)
         .partitionBy("server_id")
@@ -125,11 +129,14 @@ def scan_digest(snapshots: DataFrame, counters: Iterable[str] = COUNTERS) -> Dat
     )
 
 
+def with_digest(snapshots: DataFrame) -> DataFrame:
+    """The rows with their digest, computed from the text unless it is stored."""
+    return snapshots if DIGEST in snapshots.columns else snapshots.withColumn(DIGEST, portable_digest())
+
+
 def scan_keys(snapshots: DataFrame) -> DataFrame:
     """Add the key columns; NULL schemas become ``''``."""
-    return snapshots.withColumns(
-        {"digest": portable_digest(), "schema_name": F.coalesce(F.col("schema_name"), F.lit(""))}
-    )
+    return with_digest(snapshots).withColumn("schema_name", F.coalesce(F.col("schema_name"), F.lit("")))
 
 
 def snapshot_index(snapshots: DataFrame) -> DataFrame:

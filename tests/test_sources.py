@@ -52,8 +52,8 @@ def test_missing_columns_are_refused(spark, small, tmp_path):
 def test_log_is_partitioned_by_server(spark, small, tmp_path):
     sn.write_snapshot_log(small, f"{tmp_path}/log")
     back = sn.read_snapshot_log(spark, f"{tmp_path}/log")
-    assert back.schema.names == snapshot_schema().names
-    same(back, small)
+    assert back.schema.names == [*snapshot_schema().names, "digest"]
+    same(back.drop("digest"), small)
     plan = back.where("server_id = 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(server_id" in plan
 
@@ -124,35 +124,35 @@ def test_materialized_cuts_the_plan(spark):
 
 
 def test_server_table(spark):
-    rows = [(0, "user:pw@tcp(server1.example.com:3306)/performance_schema", "5.6.25-log")]
+    rows = [(0, "user:pw@tcp(metric1.example.net:3306)/performance_schema", "5.6.25-log")]
     servers = server_dim(spark.createDataFrame(rows, "server_id int, dsn string, version string"))
     assert servers.first().asDict() == {
         "server_id": 0,
         "user": "user",
-        "host": "server1.example.com",
+        "host": "metric1.example.net",
         "version": "5.6.25-log",
-        "name": "'user'@'server1.example.com'",
-        "short_name": "'user'@'server1.example.com'",
+        "name": "'user'@'metric1.example.net'",
+        "short_name": "'user'@'metric1.example.net'",
     }
 
 
 @pytest.fixture
 def servers(spark):
-    rows = [(i, f"user:pw@tcp(server{i + 1}.example.com:3306)/x", f"5.{i}") for i in (0, 1)]
+    rows = [(i, f"user:pw@tcp(metric{i + 1}.example.net:3306)/x", f"5.{i}") for i in (0, 1)]
     return server_dim(spark.createDataFrame(rows, "server_id int, dsn string, version string"))
 
 
 def test_report_layout(spark, log, servers, tmp_path):
-    rows = series(0, 866, 1732, text="SELECT 1") + series(0, 852, 1704, server=1, text="SELECT 1")
+    rows = series(0, 640, 1280, text="SELECT 1") + series(0, 512, 1024, server=1, text="SELECT 1")
     c = Comparison(log(rows), (0, 1))
     lines = rp.report_lines(c.metrics(), c.top_texts, servers, (0, 1))
     text = [r.line for r in lines.orderBy("query_rank", "line_no").collect()]
     assert text[:5] == [
         "Looking at top 1 queries",
         "Query 1: SELECT 1",
-        "Server:            'user'@'server1.example.com'             | 'user'@'server2.example.com'            ",
-        "  Avg queries:      866, σ 0                                | 852, σ 0                               ",
-        "  Avg QPS:          86.6 qps, σ 0                           | 85.2 qps, σ 0                          ",
+        "Server:            'user'@'metric1.example.net'             | 'user'@'metric2.example.net'            ",
+        "  Avg queries:      640, σ 0                                | 512, σ 0                               ",
+        "  Avg QPS:          64.0 qps, σ 0                           | 51.2 qps, σ 0                          ",
     ]
     assert len(text) == 14
     rp.write_report(lines, f"{tmp_path}/report")
@@ -173,7 +173,7 @@ def test_listing(log, servers):
     lines = rp.server_listing(Comparison(df, (0,)).metrics(), servers, sample_counts(df))
     text = [r.line for r in lines.orderBy("server_id", "query_rank", "line_no").collect()]
     assert text[:4] == [
-        "Host: 'user'@'server1.example.com' / 5.0. Have 2 entries. Looking at top 1 queries",
+        "Host: 'user'@'metric1.example.net' / 5.0. Have 2 entries. Looking at top 1 queries",
         "Query 1:",
         "  Avg queries: 10.0, σ 0",
         "  Avg QPS: 1.00 qps, σ 0",
