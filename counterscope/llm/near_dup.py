@@ -8,10 +8,10 @@
    no list, and passages many texts share drop out unless they are most of the text.
 3. The full sets of listed texts tell how many of a text's shingles no other one holds. They bound the overlap a
    text can have with any other, so copies with too many edits of their own are ruled out without being compared.
-4. Inverted lists yield pairs in rounds. In a round some members of every list, the leaders, are compared with
-   all members of other components, and then leave the list; lists that came together in one component are done. Leaders
-   are the members with fewest shingles of their own, and multiply by four each round: every list is exhausted, but
-   a group of near copies comes together in the first.
+4. Inverted lists yield pairs in three rounds. First the lists of each text's rarest few values compare their
+   members with one leader, the member with fewest shingles of its own: a group of near copies comes together here. Then
+   all lists do so, where members are of different components. Last, every member outside its list's largest
+   component is compared with all members of other components, so no pair of a list is left out.
 5. A pair passes if the overlap estimated from its union sketch is within reach, then its full sets are compared.
 6. Links are joined to components by label spreading.
 """
@@ -41,7 +41,7 @@ def _scan(width: int, size: int, full: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            step = max(1, min(1024, 1024 * (1 << 24) // max(1, whole.nbytes)))
+            step = max(1, min(1024, whole.num_rows * (1 << 23) // max(1, whole.nbytes)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 counts, nodes, values = [], [], []
@@ -76,53 +76,45 @@ def _row_schema(last: T.StructField) -> T.StructType:
     )
 
 
-def _likely(threshold: float, size: int):
-    """Keep pairs whose union sketch does not rule out the threshold."""
+def _similar(percent: int, size: int):
+    """Keep pairs that are similar: the union sketch must not rule it out, then the full sets decide."""
+    threshold = percent / 100
     slack = MARGIN * (threshold * (1 - threshold)) ** 0.5
+    last = np.uint64(2**64 - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = (np.array(v, dtype=np.int64).view(np.uint64) for v in (x, y))
-                union = np.union1d(x, y)
-                # below this bound both sketches are complete
-                bound = min(x[-1] if len(x) == size else 2**64 - 1, y[-1] if len(y) == size else 2**64 - 1)
-                union = union[union <= np.uint64(bound)]
-                shared = np.isin(union, np.intersect1d(x, y, assume_unique=True)).sum()
-                keep.append(shared / len(union) >= threshold - slack / len(union) ** 0.5)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return run
-
+    def sketches_allow(x: np.ndarray, y: np.ndarray) -> bool:
+        # up to here both sketches are complete
+        bound = min(x[size - 1] if len(x) >= size else last, y[size - 1] if len(y) >= size else last)
+        x, y = x[: np.searchsorted(x[:size], bound, "right")], y[: np.searchsorted(y[:size], bound, "right")]
+        both = np.sort(np.concatenate([x, y]))
+        shared = np.count_nonzero(both[1:] == both[:-1])
+        union = len(both) - shared
+        return shared / union >= threshold - slack / union**0.5
 
-def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                # sets are sorted, so a set begins with its sketch
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+                similar = sketches_allow(x, y)
+                if similar:
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                    similar = 100 * shared >= percent * (len(both) - shared)
+                keep.append(bool(similar))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
 def _links(pairs: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) of nodes that are similar on their full sets."""
-
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        side = members.select("node", column)
-        pairs = pairs.join(side.withColumnsRenamed({"node": "a", column: f"{column}_a"}), "a")
-        return pairs.join(side.withColumnsRenamed({"node": "b", column: f"{column}_b"}), "b")
-
-    likely = map_batches(with_both(pairs, "sketch"), _likely(percent / 100, size), "a binary, b binary")
-    likely = staged(likely, "likely")
-    return map_batches(with_both(likely, "set"), _verified(percent), "a binary, b binary")
+    """Pairs (a, b) of nodes that are similar on their full sets, of staged candidate pairs."""
+    sets = members.select("node", "set")
+    first = counted_broadcast(pairs).join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
+    both = first.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
+    return map_batches(both, _similar(percent, size), "a binary, b binary")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -147,9 +139,10 @@ def _lists(classes: DataFrame) -> DataFrame:
     alone = F.col("length") - F.count("*").over(Window.partitionBy("node"))
     return (
         held.join(often, "value")
-        .withColumn("place", alone + F.row_number().over(order))
-        .filter(F.expr("place <= length - length div 2 + 1"))
-        .select("value", "node")
+        .withColumn("rare", F.row_number().over(order))
+        .withColumn("alone", alone)
+        .filter(F.expr("alone + rare <= length - length div 2 + 1"))
+        .select("value", "node", "rare")
     )
 
 
@@ -168,38 +161,50 @@ def _alone(members: DataFrame) -> DataFrame:
     return single.groupBy("owner").agg(F.count("*").alias("alone")).join(numbered, "owner").select("node", "alone")
 
 
-def _components(lists: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame | None:
-    """Components over all links between members of lists (value, node, n, alone), or None if there is no link."""
-    links, found, leaders = None, None, 1
-    lists = lists.withColumn("component", F.col("node"))
-    while True:
-        part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        leader = F.min(F.struct("alone", "node", "n", "component")).alias("leader")
-        first = staged(lists.groupBy("value", part.alias("part")).agg(leader).select(F.col("value").alias("of"), "leader"), "leaders")
-        most = F.least(F.col("n") - F.col("alone"), F.col("leader.n") - F.col("leader.alone"))
-        able = 100 * most >= percent * (F.col("n") + F.col("leader.n") - most)
-        apart = F.col("component") != F.col("leader.component")
-        pairs = (
-            lists.join(first, (F.col("value") == F.col("of")) & apart & able)
-            .select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-            .distinct()
-        )
+def _open(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Lists with members of several components, each with the component most of them are in."""
+    if found is None:
+        lists = lists.withColumn("component", F.col("node"))
+    else:
+        lists = lists.join(counted_broadcast(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = staged(lists, "lists")
+    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("many"))
+    tops = sizes.groupBy("value").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts"))
+    tops = staged(tops.filter("parts > 1").select(F.col("value").alias("of"), F.col("top.component").alias("top")), "tops")
+    return staged(lists.join(counted_broadcast(tops), F.col("value") == F.col("of")).drop("of"), "open-lists")
+
+
+def _components(lists: DataFrame, members: DataFrame, percent: int, size: int, few: int = 4) -> DataFrame | None:
+    """Components over all links between members of lists (value, node, rare, n, alone), or None if there is no link."""
+    links, found = None, None
+    most = F.least(F.col("n") - F.col("alone"), F.col("leader.n") - F.col("leader.alone"))
+    able = 100 * most >= percent * (F.col("n") + F.col("leader.n") - most)
+    apart = F.col("component") != F.col("leader.component")
+    leader = F.struct("alone", "node", "n", "component")
+    for rounds in ("rarest", "leaders", "rest"):
+        now = _open(lists.filter(F.col("rare") <= few) if rounds == "rarest" else lists, found)
+        if now.isEmpty():
+            continue
+        if rounds == "rest":
+            held = now.groupBy("node").agg(F.collect_list("value").alias("values"))  # a part of the sketch
+            now = now.join(staged(held, "held"), "node")
+            first = now.filter(F.col("component") != F.col("top")).select(
+                F.col("value").alias("of"), leader.alias("leader"), F.col("values").alias("others")
+            )
+            # a pair comes from one list only: of two members outside the largest component once, and at the
+            # least value both hold (both are in every open list of theirs, and together in no closed one)
+            once = (F.col("component") == F.col("top")) | (F.col("node") < F.col("leader.node"))
+            once = once & (F.array_min(F.array_intersect("values", "others")) == F.col("of"))
+        else:
+            first, once = now.groupBy(F.col("value").alias("of")).agg(F.min(leader).alias("leader")), F.lit(True)
+        first = counted_broadcast(staged(first, "leaders"))
+        pairs = now.join(first, (F.col("value") == F.col("of")) & apart & once & able)
+        pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
         more = staged(_links(staged(pairs, "pairs"), members, percent, size), "verified")
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             found = components(links)
-        gone = first.select(F.col("of").alias("value"), F.col("leader.node").alias("node"))
-        lists = lists.drop("component").join(gone, ["value", "node"], "left_anti")
-        if found is not None:
-            lists = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            lists = lists.withColumn("component", F.col("node"))
-        ends = F.min("component").alias("low"), F.max("component").alias("high")
-        open_ = lists.groupBy("value").agg(*ends).filter("low < high").select("value")
-        lists = staged(lists.join(open_, "value", "left_semi"), "lists")
-        if lists.isEmpty():
-            return found
-        leaders *= 4
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: int = 64) -> DataFrame:
@@ -228,11 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
     again = texts.join(counted_broadcast(wanted), ["id", "text_key"], "left_semi")
     whole = map_batches(again, _scan(width, size, True), _row_schema(T.StructField("set", T.BinaryType())))
     full = whole.groupBy("node").agg(F.first("set").alias("set"))
-    members = full.join(listed.select("node", "n", "sketch"), "node").withColumn("owner", F.monotonically_increasing_id())
+    members = full.join(listed.select("node", "n"), "node").withColumn("owner", F.monotonically_increasing_id())
     members = staged(members, "members")
     able = members.select("node", "n").join(_alone(members), "node", "left").fillna(0, ["alone"])
     able = able.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    lists = staged(lists.join(able, "node").select("value", "node", "n", "alone"), "lists")
+    lists = staged(lists.join(able, "node").select("value", "node", "rare", "n", "alone"), "lists")
     found = _components(lists, members, percent, size)
 
     known = classes.select("node", "least", "copies")
