@@ -31,18 +31,39 @@ def local_session(app: str = "counterscope", cores: int | str = "*", partitions:
     )
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder every executor can reach.
+_homes: dict[str, str] = {}
+
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session without that
-    setting falls back to a temporary folder; a cluster session without it is an error.
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting falls back to
+    the temporary folder; a cluster session without it is an error.
     """
     root = spark.conf.get(_SHARED_DIR, None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {_SHARED_DIR} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="counterscope-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = tempfile.gettempdir()
+    return root.rstrip("/")
+
+
+def _home(spark: SparkSession) -> str:
+    """This session's own folder below the shared one, deleted when the session's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _homes:
+        home = f"{shared_root(spark)}/counterscope-{app}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _homes[app] = home
+    return _homes[app]
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder every executor can reach, for the time of the session."""
+    return f"{_home(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Snapshot logs on disk, the server table and the text report."""
 
 from datetime import datetime, timezone
+import tempfile
 from types import SimpleNamespace
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from counterscope.plans import report as rp
 from counterscope.plans.compare import Comparison
 from counterscope.schema import COUNTERS, UNSIGNED, snapshot_schema
-from counterscope.session import materialized, shared_folder
+from counterscope.session import materialized, shared_folder, shared_root
 from counterscope.sources import snapshots as sn
 from counterscope.sources.servers import server_dim
 from tests.test_deltas import busy, series
@@ -112,10 +113,11 @@ def test_shared_folder_follows_the_session(spark):
     def session(**settings):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default: settings.get(k.split(".")[1], default)))
 
-    assert shared_folder(session(checkpoint="/shared/place/", master="yarn"), "x").startswith("/shared/place/x-")
-    assert shared_folder(session(master="local[4]"), "x") != shared_folder(session(master="local[4]"), "x")
+    assert shared_root(session(checkpoint="/shared/place/", master="yarn")) == "/shared/place"
+    assert shared_root(session(master="local[4]")) == tempfile.gettempdir()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session(master="yarn"), "x")
+        shared_root(session(master="yarn"))
+    assert shared_folder(spark, "x") != shared_folder(spark, "x")
 
 
 def test_materialized_cuts_the_plan(spark):
