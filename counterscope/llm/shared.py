@@ -58,9 +58,6 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ def test_frequency_is_relative_to_the_host(spark):
         kept = [x for x in lines[i] if h is None or not (having[h][x] >= 3 and having[h][x] > 0.3 * pages[h])]
         want.append((r[0], h, len(lines[i]), len(lines[i]) - len(kept), "\n".join(kept)))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
-    assert {w[3] for w in want} > {0, 2} and "shared story" in want[0][4]
+    assert {w[3] for w in want} >= {0, 2} and "shared story" in want[0][4]
 
 
 def test_empty_table(spark):
