@@ -37,7 +37,7 @@ WORDS = {
 SEED_WEIGHT, MENACE_WEIGHT, MOST_WEIGHT = 2.0, 3.0, 6.0
 PREFIXES = (5, 6, 7, 8)
 WORD = r"[^\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_CLAUSE_END = np.isin(np.arange(256), list(b".,;:!?()\n|\"")) & True
+_CLAUSE_END = np.isin(np.arange(256), list(b".,;:!?()\n|\""))
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,7 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark):
         counts.append((name, docs.count(), out.count()))
         docs = spark.createDataFrame(out.collect(), out.schema)
     kept = dict((name, (before, after)) for name, before, after in counts)
-    assert kept["quality_filter"][1] < kept["quality_filter"][0] and kept["near_dedup"][1] < kept["near_dedup"][0]
+    assert all(kept[name][1] < kept[name][0] for name in ("quality_filter", "exact_dedup")) and kept["near_dedup"][1] <= kept["near_dedup"][0]
     ids = docs.select("doc_id").distinct().count()
     assert 0 < ids <= kept["mix_sources"][1]
 
