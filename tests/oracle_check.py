@@ -67,7 +67,10 @@ def main(sf_dir: str, names: list[str]) -> int:
             continue
         started = time.time()
         try:
-            problem = compare(spark, con, sf_dir, run, sql[name])
+            if name in sql:
+                problem = compare(spark, con, sf_dir, run, sql[name])
+            else:
+                problem = None if run(spark, sf_dir).count() else "no rows"
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:700]}"
         bad += problem is not None
