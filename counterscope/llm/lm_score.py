@@ -1,13 +1,14 @@
 """Language-model scores by stupid backoff, joined from n-gram count tables.
 
 The model has words and word pairs. S(w | v) is c(v w) / c(v) where the pair occurs at least ``least`` times in the corpus,
-and alpha c(w) / N otherwise; the first word of a text has c(w) / N. Words rarer than one in ``vocabulary`` of
-all words count as one unknown word, so the vocabulary has at most that many entries, however large the corpus is.
-
-Pairs are two word numbers in one integer. Those frequent anywhere are found as heavy hitters: what makes up 1 / (2 h)
-of a batch is counted there, and what reaches N / (2 h) in sum is in the head. The head has at most 2 h pairs and
-contains every pair with more than N / h occurrences; it is broadcast. All other pairs go through one shuffle by pair, in which their
-counts and the texts they occur in meet; as each is rare, no task gets a hot key.
+and alpha c(w) / N otherwise; the first word of a text has c(w) / N. Every word and every pair counts, however rare.
+
+Words that make up at least one in ``hot`` of all words have numbers and are broadcast with their counts; the others are told
+apart by their 64-bit hashes. Pairs of numbered words are two numbers in one integer. Those frequent anywhere are found as heavy
+hitters: what makes up 1 / (2 h) of a batch is counted there, and what reaches N / (2 h) in sum is in the head. The head
+has at most 2 h pairs and contains every pair with more than N / h occurrences; it is broadcast. Everything else goes through
+one shuffle, by pair or by the rare word in it, in which the counts and the texts they occur in meet; as each key is rare, no
+task gets a hot one. A pair of two rare words is sent to both, as each knows its own count only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ from counterscope.llm.shared import map_batches, staged, text_key
 from counterscope.llm.words import Words
 
 UNKNOWN = 0
+SHIFT = 22  # bits of the second word number in a pair
+# What a shuffled row is about: two numbered words; a rare word before a numbered one, or after one; two rare words, sent to
+# the second, or to the first; a rare word at the beginning of a text. Kept in the last three bits of ``pair``, above which is the
+# other word's number, or 48 bits of its hash: ``key`` is the rare word (or the two numbers), so few others are to be told apart.
+BOTH_HOT, BEFORE_HOT, AFTER_HOT, SECOND, FIRST, START = range(6)
 
 
 class Table:
@@ -70,21 +76,27 @@ def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Numbers:
-    """Word numbers and pairs of a batch under a vocabulary (known hashes sorted, their counts)."""
+    """Word numbers and pairs of a batch under a vocabulary (known hashes sorted, their counts).
+
+    Number 0 is all other words: as one word if ``merged``, else they are rare words with hashes only.
+    """
 
     def __init__(self, vocabulary: Broadcast):
-        self.known, self.counts, self.total = vocabulary.value
+        self.known, self.counts, self.total, self.merged = vocabulary.value
         self.table = Table(self.known)
         self.logs = np.log10(np.maximum(self.counts, 1) / max(1, self.total))
 
-    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, text bounds, and for every word but the first of a text: its position and its pair."""
+    def rare(self, numbers: np.ndarray) -> np.ndarray:
+        return np.zeros(len(numbers), dtype=bool) if self.merged else numbers == UNKNOWN
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers and hashes, text bounds, and for every word but the first of a text: its position and its pair."""
         words = Words(column)
         numbers = self.table.find(words.hashes) + 1
         inner = np.ones(len(numbers), dtype=bool)
         inner[words.bounds[:-1][words.bounds[:-1] < len(numbers)]] = False
         at = np.flatnonzero(inner)
-        return numbers, words.bounds, at, (numbers[at - 1] << 32) | numbers[at]
+        return numbers, words.hashes, words.bounds, at, (numbers[at - 1] << SHIFT) | numbers[at]
 
 
 def _vocabulary(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -130,7 +142,9 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(vocabulary)
         for batch in _slices(batches):
-            pairs, n = _unique(numbers.read(batch.column("text"))[3])
+            number, _, _, at, pairs = numbers.read(batch.column("text"))
+            rare = numbers.rare(number)
+            pairs, n = _unique(pairs[~(rare[at - 1] | rare[at])])
             keep = n * 2 * heavy >= n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(n[keep])], ["pair", "n"])
 
@@ -140,40 +154,57 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
 
 
 def lm_scores(
-    docs: DataFrame, least: int = 2, alpha: float = 0.4, vocabulary: int = 1 << 17, heavy: int = 1 << 15
+    docs: DataFrame, least: int = 2, alpha: float = 0.4, vocabulary: int | None = None, heavy: int = 1 << 15, hot: int = 1 << 20
 ) -> DataFrame:
     """Score every text of documents (doc_id, text) under the counts of all of them.
 
     A word is a run of anything but white space, A-Z lower-cased. Returns one row per input row: doc_id, n_words,
     n_backoff (words scored by backing off), log10_sum and log10_mean of S (null without words). Null text counts as
     empty. Rows that repeat doc_id and text have equal scores, and their words count as often as they occur.
+    With a ``vocabulary`` words rarer than one in so many count as one unknown word. ``hot`` and ``heavy`` say what is
+    broadcast and change no score.
     """
+    if max(vocabulary or hot, 1) >= 1 << SHIFT:
+        raise ValueError(f"at most {(1 << SHIFT) - 1} words can have numbers")
     spark = docs.sparkSession
     context = spark.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text"))
-    known = _vocabulary(texts, vocabulary)
+    known = (*_vocabulary(texts, vocabulary or hot), vocabulary is not None)
     words = context.broadcast(known)
     head = context.broadcast(_head(texts, words, heavy, known[2]))
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
         for batch in _slices(batches):
-            _, bounds, at, pairs = numbers.read(batch.column("text"))
-            rare = table.find(spread(pairs)) < 0
-            row = np.searchsorted(bounds, at[rare], "right") - 1
-            order = np.lexsort((pairs[rare], row))
-            row, pair = row[order], pairs[rare][order]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])) if len(row) else row
+            number, hashes, bounds, at, pairs = numbers.read(batch.column("text"))
+            rare = numbers.rare(number)
+            before, after = rare[at - 1], rare[at]
+            cold = np.flatnonzero(~before & ~after & (table.find(spread(pairs)) < 0))
+            starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+            starts = starts[rare[starts]]
+            v, w = at[before] - 1, at[after]
+            others = [
+                np.where(rare[x], (hashes[x] >> np.uint64(16)).astype(np.int64), number[x]) << 3 | np.where(rare[x], a, b)
+                for x, a, b in ((v + 1, FIRST, BEFORE_HOT), (w - 1, SECOND, AFTER_HOT))
+            ]
+            row = np.searchsorted(bounds, np.concatenate([at[cold], v, w, starts]), "right") - 1
+            key = np.concatenate([pairs[cold], *(hashes[x].view(np.int64) for x in (v, w, starts))])
+            pair = np.concatenate([np.full(len(cold), BOTH_HOT), *others, np.full(len(starts), START)])
+            order = np.lexsort((pair, key, row))
+            row, key, pair = row[order], key[order], pair[order]
+            fresh = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
+            first = np.flatnonzero(np.concatenate([[True], fresh])) if len(row) else row
             n = np.diff(np.append(first, len(row)))
             take = pa.array(row[first])
-            columns = [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(pair[first]), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "pair", "n"])
+            columns = [batch.column("doc_id").take(take), batch.column("text_key").take(take)]
+            columns += [pa.array(x) for x in (key[first], pair[first], n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "key", "pair", "n"])
 
     def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
         counts = np.zeros(len(head.value), dtype=np.int64)
         for batch in _slices(batches):
-            found = table.find(spread(numbers.read(batch.column("text"))[3]))
+            found = table.find(spread(numbers.read(batch.column("text"))[4]))
             counts += np.bincount(found[found >= 0], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "n"])
@@ -191,13 +222,14 @@ def lm_scores(
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
         for batch in _slices(batches):
-            number, bounds, at, pairs = numbers.read(batch.column("text"))
+            number, _, bounds, at, pairs = numbers.read(batch.column("text"))
             found = table.find(spread(pairs))
             n = np.where(found >= 0, head_sums.value[np.maximum(found, 0)], 0) if len(head_sums.value) else np.zeros(len(pairs))
             score = numbers.logs[number]
             score[at] += np.log10(alpha)
             more = np.where(n >= least, gain(number[at - 1], number[at], n, numbers.logs, numbers.total), 0.0)
             score[at] += more
+            score[numbers.rare(number)] = 0.0  # all of it comes with the counts
             backed = np.zeros(len(number))
             backed[at] = n < least
             sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (score, backed)]
@@ -208,13 +240,36 @@ def lm_scores(
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(words)
         for batch in batches:
-            pair, n, total = (batch.column(c).to_numpy() for c in ("pair", "n", "total"))
-            value = n * gain(pair >> 32, pair & 0xFFFFFFFF, total, numbers.logs, numbers.total)
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(value), batch.column("n")]
+            key, pair, n, total, own = (batch.column(c).to_numpy() for c in ("key", "pair", "n", "total", "own"))
+            kind, other = pair & 7, pair >> 3
+            often, hot_pair = total >= least, kind == BOTH_HOT
+            v = np.where(hot_pair, key >> SHIFT, np.where(kind == AFTER_HOT, other, 0))
+            w = np.where(hot_pair, key & ((1 << SHIFT) - 1), np.where(kind == BEFORE_HOT, other, 0))
+            log_v, log_w = numbers.logs[v], numbers.logs[w]
+            all_words, log_n, log_own = np.log10(max(1, numbers.total)), np.log10(total), np.log10(np.maximum(own, 1))
+            backed = np.log10(alpha) + log_own - all_words
+            value = np.select(
+                [hot_pair, kind == BEFORE_HOT, kind == AFTER_HOT, kind == SECOND, kind == FIRST],
+                [
+                    gain(v, w, total, numbers.logs, numbers.total),
+                    log_n - log_own - np.log10(alpha) - log_w,
+                    np.where(often, log_n - log_v - all_words, backed),
+                    np.where(often, log_n, backed),
+                    -log_own,
+                ],
+                log_own - all_words,
+            )
+            hits = np.where(often & (kind != FIRST) & (kind != START), n, 0)
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n * value), pa.array(hits)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "gain", "n"])
 
-    rare = map_batches(texts, tail, "doc_id long, text_key long, pair long, n long")
-    counted = rare.withColumn("total", F.sum("n").over(Window.partitionBy("pair"))).filter(F.col("total") >= least)
+    rare = map_batches(texts, tail, "doc_id long, text_key long, key long, pair long, n long")
+    kind = F.col("pair").bitwiseAND(F.lit(7))
+    # a rare word occurs where it is second or starts a text; by key first, so that one shuffle and one sort serve both
+    by_key = Window.partitionBy("key").orderBy("pair").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = rare.withColumn("own", F.sum(F.when(kind.isin(AFTER_HOT, SECOND, START), F.col("n")).otherwise(0)).over(by_key))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("key", "pair")))
+    counted = counted.filter((F.col("total") >= least) | kind.isin(AFTER_HOT, SECOND, START))
     added = map_batches(counted, gains, "doc_id long, text_key long, gain double, n long")
     added = added.groupBy("doc_id", "text_key").agg(F.sum("gain").alias("gain"), F.sum("n").alias("hits"))
     rows = map_batches(texts, base, "doc_id long, text_key long, n_words long, score double, backed double")

@@ -44,6 +44,22 @@ def test_scores_equal_brute_force(spark, vocabulary, heavy, least):
         assert (g[3] is None) == (w[3] is None) and (w[3] is None or g[3] == pytest.approx(w[3], abs=1e-7))
 
 
+@pytest.mark.parametrize(("hot", "heavy", "least"), [(1 << 17, 1 << 15, 2), (60, 20, 2), (60, 20, 1), (100, 1, 3), (1, 1, 2)])
+def test_rare_words_of_a_large_corpus_count_for_themselves(spark, hot, heavy, least):
+    rnd = random.Random(11)
+    word = lambda: f"w{int(rnd.paretovariate(0.7)) % 500}"
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(0, 120)))) for i in range(200)]
+    # a word is then rarer than one in 2^17, and rare words stand first, last, doubled, and in rare pairs seen twice
+    rows += [(300, "hot pair " * 150_000), (301, "once hot pair"), (302, "rare tiny hot rare tiny rare rare"), (302, "rare tiny hot rare tiny rare rare")]
+    rows += [(303, "tiny"), (304, "hot rare"), (305, "w1 once twice"), (306, "twice hot twice hot"), (None, "rare tiny"), (None, "rare tiny"), (307, None)]
+    got = lm_scores(documents(spark, rows, CLASHING), least=least, heavy=heavy, hot=hot).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_backoff, r.log10_sum) for r in got), key=lambda x: repr(x[:3]))
+    want = brute(rows, least, 0.4, 10**9)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    for g, w in zip(got, want):
+        assert (g[3] is None) == (w[3] is None) and (w[3] is None or g[3] == pytest.approx(w[3], abs=1e-6))
+
+
 def test_empty_table(spark):
     assert lm_scores(documents(spark, []).limit(0)).count() == 0
     assert [r.log10_mean for r in lm_scores(documents(spark, [(1, None)])).collect()] == [None]
