@@ -2,7 +2,8 @@
 
 A lexicon turns words into symbols: insult, threat, target, negation, reported speech, other. Four small
 transducers are composed into one: negation and reported speech weaken what follows them, a target near an
-insult strengthens it, and a threat counts only with a target. A document's evidence is the sum, the maximum and
+insult strengthens it, and a threat counts only with a target, as weakened. What a report verb introduces by a comma,
+a colon or a quote belongs to its clause. A document's evidence is the sum, the maximum and
 the number of its matched clauses, and a logistic step turns it into a probability.
 
 Insults are a few plain words plus what labelled documents teach: words and beginnings of words ("abcd*") that
@@ -26,6 +27,10 @@ from counterscope.llm.words import NOT_LETTERS, Words, hash_of
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitynr"
 DIRECTED, MENACE = "dm"
+# Threats that were denied, reported, or both
+DENIED, REPORTED, BOTH = "123"
+PAUSE = "p"  # between a report verb and what it introduces: nothing but reported speech reaches over it
+WEAKENING = {THREAT: 1.0, REPORTED: 0.6, DENIED: 0.4, BOTH: 0.24}
 WORDS = {
     INSULT: "idiot idiots moron morons stupid scum trash pathetic worthless disgusting loser losers clown imbecile "
     "dumb dumbass idiota estúpido estúpida imbécil basura idiote stupide crétin débile dummkopf trottel abschaum",
@@ -69,26 +74,50 @@ class Transducer:
         return out
 
 
-ALPHABET = OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT + DIRECTED + MENACE
+ALPHABET = OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT + DIRECTED + MENACE + DENIED + REPORTED + BOTH + PAUSE
 
 
-def _window(opens: str, length: int, effects: dict[str, tuple[str, float]]) -> Transducer:
-    """For ``length`` symbols after one of ``opens``, symbols change as ``effects`` says."""
+def _window(opens: str, length: int, effects: dict[str, tuple[str, float]], over_pause: bool = False) -> Transducer:
+    """For ``length`` symbols after one of ``opens``, symbols change as ``effects`` says; a pause ends it or is not counted."""
     arcs = {}
     for left in range(length + 1):
         for symbol in ALPHABET:
             out, factor = effects.get(symbol, (symbol, 1.0)) if left else (symbol, 1.0)
-            arcs[left, symbol] = (length if symbol in opens else max(0, left - 1), out, factor)
+            then = (left if over_pause else 0) if symbol == PAUSE else max(0, left - 1)
+            arcs[left, symbol] = (length if symbol in opens else then, out, factor)
+    return Transducer(arcs)
+
+
+def _menaces(length: int) -> Transducer:
+    """A target among ``length`` symbols after a threat becomes a menace, as weak as the strongest such threat is.
+
+    A state is how many symbols each threat still reaches, strongest first; one that a stronger one outlasts is left out.
+    """
+    kinds = list(WEAKENING)
+    numbers, todo, arcs = {(0,) * len(kinds): 0}, [(0,) * len(kinds)], {}
+    while todo:
+        state = todo.pop()
+        strongest = next((kind for kind, left in zip(kinds, state) if left), None)
+        for symbol in ALPHABET:
+            lefts, most = [], 0
+            for kind, left in zip(kinds, state):
+                left = length if symbol == kind else 0 if symbol == PAUSE else max(0, left - 1)
+                lefts.append(left if left > most else 0)
+                most = max(most, left)
+            if (then := tuple(lefts)) not in numbers:
+                numbers[then] = len(numbers)
+                todo.append(then)
+            out = (MENACE, WEAKENING[strongest]) if symbol == TARGET and strongest else (symbol, 1.0)
+            arcs[numbers[state], symbol] = (numbers[then], *out)
     return Transducer(arcs)
 
 
 def grammar() -> Transducer:
     """Negation, reported speech, targets and threats composed into one machine."""
-    negation = _window(NEGATION, 3, {INSULT: (INSULT, 0.4), THREAT: (THREAT, 0.4)})
-    report = _window(REPORT, 8, {INSULT: (INSULT, 0.6), THREAT: (THREAT, 0.6)})
-    target = _window(TARGET, 4, {INSULT: (DIRECTED, 1.3), THREAT: (THREAT, 1.0)})
-    menace = _window(THREAT, 3, {TARGET: (MENACE, 1.0)})
-    return negation.then(report).then(target).then(menace)
+    negation = _window(NEGATION, 3, {INSULT: (INSULT, 0.4), THREAT: (DENIED, 1.0)})
+    report = _window(REPORT, 8, {INSULT: (INSULT, 0.6), THREAT: (REPORTED, 1.0), DENIED: (BOTH, 1.0)}, over_pause=True)
+    target = _window(TARGET, 4, {INSULT: (DIRECTED, 1.3)})
+    return negation.then(report).then(target).then(_menaces(3))
 
 
 @dataclass(frozen=True)
@@ -119,6 +148,33 @@ class Lexicon:
         at = np.flatnonzero(likely[(hashes >> np.uint64(48)).astype(np.int64)])
         return at[np.isin(hashes[at], keys)]
 
+    @staticmethod
+    def _spoken(words: Words, reports: list[int], triggers: np.ndarray) -> np.ndarray:
+        """Places of marks that end no clause, as a report verb before them introduces what follows.
+
+        A comma counts right after the verb, a colon or an opening quote within its reach of eight words.
+        """
+        found = []
+        for i in reports:
+            at = np.searchsorted(triggers, i)
+            if at == len(triggers) or triggers[at] > i + 8:
+                continue
+            stop = words.offsets[np.searchsorted(words.offsets, words.first[i], "right")]
+            for k in range(i, min(i + 8, len(words.first) - 1)):
+                lo, hi = int(words.end[k]), int(words.first[k + 1])
+                if hi >= stop:
+                    break
+                gap = words.data[lo:hi]
+                marks = np.flatnonzero(_CLAUSE_END[gap])
+                if not len(marks):
+                    continue
+                kinds = gap[marks].tobytes()
+                opening = b'"' in kinds and gap[0] != ord('"')
+                if not kinds.strip(b',:"') and gap[0] != ord('"') and (k == i or b":" in kinds or opening):
+                    found.append(marks + lo)
+                break
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
     def evidence(self, column: pa.Array) -> np.ndarray:
         """For every text: sum and maximum of its clause scores, matched clauses, matched words, all words."""
         words = Words(column, NOT_LETTERS, tuple(self.starts))
@@ -135,15 +191,20 @@ class Lexicon:
         if not len(triggers):
             return out
         ends = np.union1d(np.flatnonzero(_CLAUSE_END[words.data]), words.offsets)
+        reports = [i for i, t in terms.items() if t[0] == REPORT]
+        spoken = self._spoken(words, sorted(reports), triggers)
+        ends = np.setdiff1d(ends, spoken)
+        pauses = set(np.searchsorted(words.first, spoken).tolist())  # words that come after one
         clause = np.searchsorted(ends, words.first[triggers], "right")
         for c in np.unique(clause):
             lo = np.searchsorted(words.first, ends[c - 1])
             hi = np.searchsorted(words.first, ends[c]) if c < len(ends) else len(words.first)
             row = int(np.searchsorted(words.offsets, words.first[lo], "right") - 1)
             inside = range(max(lo, int(triggers[np.searchsorted(clause, c)]) - 16), hi)
-            read = self.machine.read(terms[i][0] if i in terms else OTHER for i in inside)
+            steps = [s for i in inside for s in ([(i, PAUSE)] if i in pauses else []) + [(i, terms[i][0] if i in terms else OTHER)]]
+            read = self.machine.read(symbol for _, symbol in steps)
             total = 0.0
-            for i, (symbol, factor) in zip(inside, read):
+            for (i, _), (symbol, factor) in zip(steps, read):
                 if symbol in (INSULT, DIRECTED):
                     total += factor * terms[i][1]
                     out[row, 3] += 1

@@ -46,6 +46,32 @@ def test_clauses_are_scored_by_the_grammar(text, score):
     assert clause_score(text) == pytest.approx(score)
 
 
+@pytest.mark.parametrize(
+    ("text", "score"),
+    [
+        ("I would never hurt you", 3 * 0.4),
+        ("he said he would kill you", 3 * 0.6),
+        ("he said he would not kill you", 3 * 0.24),
+        ("I will kill never hurt you", 3.0),
+        ("I never ever hurt it but I kill you", 3.0),
+        ('he said: "you idiot"', 2 * 0.6 * 1.3),
+        ('he said, "I will kill you"', 3 * 0.6),
+        ('he said to me: "idiot"', 2 * 0.6),
+        ("he wrote, idiot", 2 * 0.6),
+        ("he wrote it, idiot", 2.0),
+        ('what he "said" idiot', 2.0),
+        ('he said: "fine" idiot', 2.0),
+        ("he said. you idiot", 2.6),
+    ],
+)
+def test_denied_and_reported_threats_and_quoted_insults_are_weaker(text, score):
+    assert clause_score(text) == pytest.approx(score)
+
+
+def test_speech_does_not_reach_into_the_next_text():
+    assert LEXICON.evidence(pa.array(["he said:", '"idiot"']))[:, 0].tolist() == [0.0, 2.0]
+
+
 def test_clauses_end_at_punctuation_and_texts():
     ev = LEXICON.evidence(pa.array(["you", "idiot. not", "stupid", "you x x x x x idiot", "été"]))
     assert ev[:, 0].tolist() == pytest.approx([0, 2, 2, 2, 1])
