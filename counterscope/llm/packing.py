@@ -25,16 +25,18 @@ from pyspark.sql import functions as F
 from counterscope.llm.shared import map_batches, ship, staged
 
 END_OF_TEXT = 2
+SPECIAL = {"<|endoftext|>": 50256}  # of byte_bpe_50k.json
 GROUP = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str | None, ranks: str | None):
+def encoder(vocabulary: str | None, ranks: str | None, special: bool = False):
     """A function from a text to its token ids.
 
     ``vocabulary`` is a tokenizer file. ``ranks`` is the same byte-pair vocabulary in rank form: its encoder gives
-    the same ids several times faster, and is used if given.
+    the same ids several times faster, and is used if given. With ``special`` a special token spelled out in a text is one
+    id, as an unchanged ``Tokenizer`` has it; else it is plain text.
     """
     import public_tokenizers
 
@@ -42,14 +44,14 @@ def encoder(vocabulary: str | None, ranks: str | None):
         from tokenizers import Tokenizer
 
         known = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-        known.encode_special_tokens = True
+        known.encode_special_tokens = not special
         return lambda text: known.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(ranks, "rb") as lines:
         order = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens={})
-    return fast.encode_ordinary
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens=SPECIAL)
+    return (lambda text: fast.encode(text, allowed_special="all")) if special else fast.encode_ordinary
 
 
 def default_ranks() -> str:
@@ -74,7 +76,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, ranks)
+        encode = encoder(vocabulary, ranks, special=True)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

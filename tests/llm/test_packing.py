@@ -29,6 +29,24 @@ def test_both_encoders_give_the_same_ids():
         assert fast(text) == known.encode(text, add_special_tokens=False).ids
 
 
+SPELLED = ["a<|endoftext|>b", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>\n", "<|endoftext|", "x <|<|endoftext|>|> y", " <|endoftext|>", "\n\n<|endoftext|>\n"]
+
+
+@pytest.mark.parametrize("ranks", [None, default_ranks()])
+def test_special_tokens_in_texts_are_those_of_an_unchanged_tokenizer(spark, ranks):
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoder(None, ranks, special=True)
+    rnd = random.Random(12)
+    texts = SPELLED + ["".join(rnd.choice(["<|endoftext|>", " ", "\n", "ab", "’", "1"]) for _ in range(12)) for _ in range(300)]
+    for text in texts:
+        assert encode(text) == known.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode(SPELLED[0])
+    got = {r.doc_id: r for r in token_pieces(documents(spark, list(enumerate(SPELLED))), ranks=ranks).collect()}
+    for i, text in enumerate(SPELLED):
+        ids = known.encode(text, add_special_tokens=False).ids + [END_OF_TEXT]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+
+
 @pytest.mark.parametrize("kind", ["even", "middle", "small", "one", "none"])
 def test_bins_hold_everything_and_search_never_worsens(kind):
     rng = np.random.default_rng(1)
