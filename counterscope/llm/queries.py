@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterscope.llm.alignment import BytePairs, SentencePieces, link_counts
 from counterscope.llm.chat import chat_digest, chat_examples
 from counterscope.llm.exact_dup import exact_duplicates
+from counterscope.llm.fill_middle import fill_middle, restored
 from counterscope.llm.line_dedup import BLOCK, HIDDEN, HOST, drop_boilerplate
 from counterscope.llm.lm_score import lm_scores
 from counterscope.llm.mixing import mix
 from counterscope.llm.near_dup import near_duplicates
 from counterscope.llm.neighbours import nearest
+from counterscope.llm.order_hash import as_text, edited_by_next
 from counterscope.llm.packing import default_ranks, pack_documents
 from counterscope.llm.quality import fold, quality
 from counterscope.llm.toxicity import toxicity
@@ -241,3 +244,52 @@ FROM (SELECT page_id, r.host, lines, CASE WHEN drops IS NULL THEN lines
 @query(_OP9)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
+_OP11 = r"""
+WITH dice AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), cuts AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90
+      THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM dice
+), parts AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM cuts
+), cut AS (
+  SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM parts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM cut
+"""
+
+
+@query(_OP11)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query()
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = edited_by_next(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("fingerprint")).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    two = SentencePieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return link_counts(table(spark, sf_dir, "documents"), BytePairs(default_ranks()), two)
