@@ -24,7 +24,7 @@ def _before(counter: str) -> str:
     return f"before_{counter}"
 
 
-def _classified(
+def classified(
     pairs: DataFrame, counters: Sequence[str], key: Sequence[str] = KEY, wrap_unsigned: bool = False
 ) -> DataFrame:
     """Difference both sides of each pair and name what becomes of it.
@@ -87,7 +87,7 @@ def adjacent_pairs(
         *[F.lag(c).over(history).alias(_before(c)) for c in counters],
     )
     neighbours = lagged.where("sample_seq = collection_seq - 1")
-    return _classified(neighbours, counters, key, wrap_unsigned)
+    return classified(neighbours, counters, key, wrap_unsigned)
 
 
 def kept(pairs: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def delta_of(
         *[F.col(c).alias(_before(c)) for c in counters],
     )
     new = later.select(*on, F.col("collected_time").alias("end_time"), *counters)
-    return _classified(old.join(new, list(on)), counters, wrap_unsigned=wrap_unsigned)
+    return classified(old.join(new, list(on)), counters, wrap_unsigned=wrap_unsigned)
 
 
 def deltas_join(deduped: DataFrame, counters: Sequence[str] = COUNTERS, wrap_unsigned: bool = False) -> DataFrame:
@@ -188,4 +188,4 @@ def first_last(ends: DataFrame, counters: Sequence[str] = COUNTERS, wrap_unsigne
         *[merged(c, "is_first").alias(_before(c)) for c in counters],
     )
     met = pairs.where("start_time is not null and end_time is not null")
-    return kept(_classified(met, counters, wrap_unsigned=wrap_unsigned))
+    return kept(classified(met, counters, wrap_unsigned=wrap_unsigned))

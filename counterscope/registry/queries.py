@@ -24,6 +24,7 @@ from counterscope.session import shared_folder
 from counterscope.sources.servers import server_dim
 from counterscope.sources.snapshots import append_snapshots, scan_digest, scan_keys
 from counterscope.streaming.incremental import SampleStream
+from counterscope.streaming.keyed import StateStream
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -682,15 +683,15 @@ def stream_deltas(spark, sf_dir):
 
 @query(sq.with_(*_DELTAS) + _DELTA_SELECT + "deltas")
 def stream_deltas_split(spark, sf_dir):
-    """Snapshots 10 and 20 lie in two files each, and a batch takes one file."""
+    """Snapshots 10 and 20 come in two parts, in two runs."""
     root = shared_folder(spark, "stream")
     stream = SampleStream(f"{root}/in", f"{root}/out", f"{root}/memory")
     half = F.when(F.pmod(F.xxhash64("digest_text"), F.lit(2)) == 0, F.lit(0.5)).otherwise(F.lit(0.0))
     place = F.col("collection_seq") + half
     log = dv.event_snapshots(spark, sf_dir)
-    for low, high in ((0.0, 10.0), (10.0, 20.0), (20.0, 1e6)):
-        log.where((place > low) & (place <= high)).coalesce(1).write.mode("append").parquet(stream.source)
-    stream.start(spark, max_files=1).awaitTermination()
+    for part in (place <= 10, (place > 10) & (place <= 20), place > 20):
+        log.where(part).write.mode("append").parquet(stream.source)
+        stream.start(spark).awaitTermination()
     return plain_times(stream.results(spark))
 
 
@@ -708,6 +709,52 @@ def stream_deltas_repeated(spark, sf_dir):
     return plain_times(stream.results(spark))
 
 
+_DAY = 86400
+
+
+def _state_stream(spark: SparkSession, lateness_days: int) -> StateStream:
+    root = shared_folder(spark, "stream")
+    return StateStream(f"{root}/in", f"{root}/out", f"{root}/checkpoint", lateness_days * _DAY, 3 * _DAY)
+
+
+@query(sq.with_(*_DELTAS) + _DELTA_SELECT + "deltas")
+def stream_state_deltas(spark, sf_dir):
+    """The log lies in five parts cut by text, each with all snapshots, and they come from the last to the first.
+
+    Snapshots stay open for 400 days and are closed by the stream's end mark.
+    """
+    stream = _state_stream(spark, 400)
+    log = dv.event_snapshots(spark, sf_dir)
+    part = F.pmod(F.xxhash64("digest_text", "row_ordinal"), F.lit(5))
+    for i in (4, 3, 2, 1, 0):
+        log.where(part == i).write.mode("append").parquet(stream.source)
+    stream.start(spark).awaitTermination()
+    stream.close(spark)
+    stream.start(spark).awaitTermination()
+    return plain_times(stream.results(spark))
+
+
+_HELD_BACK = "(collection_seq IN (12, 18) AND row_ordinal = 1)"
+
+
+@query(
+    sq.with_(*_KEYED, f"arrival AS (SELECT *, CASE WHEN {_HELD_BACK} OR collection_seq > 20 THEN 2 ELSE 1 END AS run FROM keyed)")
+    + f"""SELECT server_id, collection_seq, collected_time, row_ordinal, digest, schema_name, {_COUNTERS},
+      'snapshot is closed: late or delivered again' AS reason
+    FROM arrival WHERE run = 2
+      AND collected_time <= (SELECT max(collected_time) FROM arrival WHERE run = 1) - INTERVAL 3 DAY"""
+)
+def stream_late(spark, sf_dir):
+    """A row each of snapshots 12 and 18 comes after snapshot 20, when three days' worth is still open: that of 12 is late."""
+    stream = _state_stream(spark, 3)
+    log = dv.event_snapshots(spark, sf_dir)
+    second = F.expr(_HELD_BACK) | (F.col("collection_seq") > 20)
+    for part in (~second, second):
+        log.where(part).write.mode("append").parquet(stream.source)
+        stream.start(spark).awaitTermination()
+    return plain_times(stream.late_rows(spark))
+
+
 # The same jobs on the log that grows with the data
 
 _ITEM_SERVERS = dv.LINEITEM_SERVERS

@@ -1,4 +1,8 @@
-"""Incremental samples with Structured Streaming, the same however the snapshots are cut into files and batches.
+"""Incremental samples with Structured Streaming, for snapshots that arrive in order.
+
+A snapshot is closed by the second newer one of its server (``open_snapshots``), whatever the time, so rows that come after that are set
+aside as late and the samples then depend on the cut into batches; ``streaming.keyed`` closes by time instead. In
+return duplicates are combined before the shuffle, by the operators of the batch job.
 
 A micro-batch merges and differences with the very operators of the batch job. What it must remember of a
 server are the rows of its newest snapshots, not merged yet: further rows of a snapshot that is still open join
@@ -14,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -120,16 +124,11 @@ class SampleStream:
 
     def results(self, spark: SparkSession) -> DataFrame:
         """The samples so far. A pair of snapshots counts as its latest emission has it, even if that is empty."""
-        samples = spark.read.parquet(self.samples)
-        emitted = spark.read.parquet(self.emitted).select(
-            F.col("server_id").alias("of"), F.col("touched").alias("from_seq"), F.col("batch_id").alias("later_batch")
-        )
-        newer = (
-            (samples["server_id"] == emitted["of"])
-            & (emitted["later_batch"] > samples["batch_id"])
-            & (samples["sample_seq"] >= emitted["from_seq"] - 1)
-        )
-        return samples.join(emitted, newer, "left_anti").drop("batch_id")
+        later = Window.partitionBy("server_id").orderBy("batch_id").rowsBetween(1, Window.unboundedFollowing)
+        emitted = spark.read.parquet(self.emitted).select("server_id", "batch_id", F.min("touched").over(later).alias("again_from"))
+        samples = spark.read.parquet(self.samples).join(_known(emitted), ["server_id", "batch_id"], "left")
+        latest = F.col("again_from").isNull() | (F.col("sample_seq") < F.col("again_from") - 1)
+        return samples.where(latest).drop("batch_id", "again_from")
 
     def late_rows(self, spark: SparkSession) -> DataFrame:
         """Rows that came for a closed snapshot, with the reason."""
