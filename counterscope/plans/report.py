@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterscope.functions.text import metric_cell, padded, picosecond_time, steady
+from counterscope.plans.report_sink import read_report, write_report  # noqa: F401  (part of this module's interface)
 from counterscope.schema import COUNTERS
 from counterscope.session import materialized
 
@@ -81,11 +82,6 @@ def report_lines(
     )
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Store the report as one text file: a few lines per query, so one task is enough."""
-    lines.orderBy("query_rank", "line_no").coalesce(1).select("line").write.mode("overwrite").text(path)
-
-
 def server_listing(metrics: DataFrame, servers: DataFrame, sample_counts: DataFrame) -> DataFrame:
     """Each server's own listing of the top queries, ordered by ``server_id, query_rank, line_no``.
 

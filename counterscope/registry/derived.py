@@ -83,6 +83,7 @@ def event_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.alias("digest_text"),
         (F.col("event_id") % 2).cast("int").alias("row_ordinal"),
         F.date_trunc("day", "ts").alias("collected_time"),
+        "ts",
         (F.round(F.col("value") * 100).cast("bigint") * 10000000).alias("timer_ps"),
         "event_type",
         F.col("value").alias("v"),
@@ -209,3 +210,43 @@ def errors_by_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def timed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement history with error numbers and times of execution.
+
+    A day's statements are in the snapshot that bears its date; to have run before it they are dated back by a day.
+    """
+    errno = F.when(F.col("v") > 80, 1205).when(F.col("v") > 40, 1213).otherwise(0)
+    earlier = F.expr("ts - INTERVAL 1 DAY")
+    return event_statements(spark, sf_dir).withColumn("ts", earlier).select(
+        "server_id",
+        "schema_name",
+        "digest_text",
+        utc_instant("ts").alias("executed_at"),
+        errno.alias("errno"),
+        F.when(F.col("v") > 40, 1).otherwise(0).alias("errors"),
+        F.when(F.col("v") > 20, 1).otherwise(0).alias("warnings"),
+    )
+
+
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event snapshots, taken at the end of each day, with the records of each key: least and greatest time, first and last seen."""
+    parts = ["server_id", "schema_name", "digest_text", "row_ordinal"]
+    totals = (
+        event_statements(spark, sf_dir)
+        .groupBy(*parts, "collected_time")
+        .agg(
+            F.count("*").alias("count_star"),
+            F.sum("timer_ps").alias("sum_timer_wait"),
+            F.min("timer_ps").alias("min_timer_wait"),
+            F.max("timer_ps").alias("max_timer_wait"),
+            F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen"),
+        )
+    )
+    so_far = Window.partitionBy(*parts).orderBy("collected_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    records = {c: F.min(c).over(so_far) for c in ("min_timer_wait", "first_seen")} | {c: F.max(c).over(so_far) for c in ("max_timer_wait", "last_seen")}
+    running = _running(_number_snapshots(totals).withColumns(records), parts, ["count_star", "sum_timer_wait"])
+    times = {c: utc_instant(c) for c in ("first_seen", "last_seen")}
+    return running.withColumns({**times, "collected_time": utc_instant("collected_time") + F.expr("INTERVAL 1 DAY")})

@@ -22,7 +22,7 @@ from counterscope.registry import oracles as sq
 from counterscope.schema import COUNTERS, EXTRA_COUNTERS, METRIC_NAMES
 from counterscope.session import shared_folder
 from counterscope.sources.servers import server_dim
-from counterscope.sources.snapshots import append_snapshots, scan_digest, scan_keys
+from counterscope.sources.snapshots import scan_digest, scan_keys
 from counterscope.streaming.incremental import SampleStream
 from counterscope.streaming.keyed import StateStream
 
@@ -99,7 +99,7 @@ def scan_digest_table(spark, sf_dir):
 @query(sq.with_(_LOG) + f"SELECT {_LOG_COLUMNS} FROM snapshots")
 def snapshot_log(spark, sf_dir):
     log = dv.event_snapshots(spark, sf_dir)
-    return plain_times(append_snapshots([log.where(F.col("server_id") == s) for s in _SERVERS]))
+    return plain_times(log.where(F.col("server_id").isin(*_SERVERS)))
 
 
 _CLEAN_WHERE = "digest_text LIKE '%c%' AND coalesce(schema_name, '') <> 'performance_schema'"

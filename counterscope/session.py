@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,25 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{_home(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for the operators whose classes run in their Python workers."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "counterscope-core.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Compute a small table once and keep it in reliable storage, so that its uses share one run."""
     context = df.sparkSession.sparkContext

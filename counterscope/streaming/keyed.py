@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from counterscope.functions.keys import text_contains
 from counterscope.operators.deltas import classified, delta_rejects, kept
 from counterscope.schema import BIGINT, COUNTERS, PERFORMANCE_SCHEMA, require_ansi, snapshot_schema
+from counterscope.session import ship
 from counterscope.sources.snapshots import scan_keys
 
 LATE = "snapshot is closed: late or delivered again"
@@ -159,6 +160,7 @@ class StateStream:
     def pairs(self, snapshots: DataFrame) -> DataFrame:
         """The stateful step over a stream of snapshot rows: closed pairs and late rows, told apart by ``kind``."""
         require_ansi(snapshots.sparkSession)
+        ship(snapshots.sparkSession)
         mark = F.col("server_id") == CLOCK
         ahead = F.col("collected_time") + F.make_dt_interval(F.lit(GRACE_DAYS))
         delay = f"{int((self.lateness_s + GRACE_DAYS * 86400) * 1000)} milliseconds"
