@@ -190,14 +190,10 @@ WITH words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
     FROM documents)
-), counts AS (
+), singles AS (
   SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM words GROUP BY word
-), known AS (
-  SELECT word, n * 131072 >= total AS often, n, total FROM counts
 ), tokens AS (
-  SELECT w.doc_id, w.place, CASE WHEN k.often THEN w.word END AS word, k.total FROM words w JOIN known k USING (word)
-), singles AS (
-  SELECT word, count(*) AS n FROM tokens GROUP BY word
+  SELECT w.doc_id, w.place, w.word, s.total FROM words w JOIN singles s USING (word)
 ), steps AS (
   SELECT doc_id, place, word, total, lag(word) OVER d AS before, lag(place) OVER d IS NOT NULL AS inner_
   FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY place)
@@ -206,9 +202,9 @@ WITH words AS (
 ), scored AS (
   SELECT s.doc_id, s.inner_ AND p.n < 2 AS backoff,
     CASE WHEN NOT s.inner_ THEN log10(w.n / s.total) WHEN p.n >= 2 THEN log10(p.n / v.n) ELSE log10(0.4 * w.n / s.total) END AS score
-  FROM steps s JOIN singles w ON s.word IS NOT DISTINCT FROM w.word
-  LEFT JOIN singles v ON s.inner_ AND s.before IS NOT DISTINCT FROM v.word
-  LEFT JOIN pairs p ON s.inner_ AND s.before IS NOT DISTINCT FROM p.before AND s.word IS NOT DISTINCT FROM p.word
+  FROM steps s JOIN singles w ON s.word = w.word
+  LEFT JOIN singles v ON s.inner_ AND s.before = v.word
+  LEFT JOIN pairs p ON s.inner_ AND s.before = p.before AND s.word = p.word
 )
 SELECT d.doc_id, count(s.score) AS n_words, count(*) FILTER (s.backoff) AS n_backoff, round(avg(s.score), 6) AS log10_mean
 FROM documents d LEFT JOIN scored s USING (doc_id) GROUP BY d.doc_id
