@@ -6,9 +6,10 @@ and alpha c(w) / N otherwise; the first word of a text has c(w) / N. Every word
 Words that make up at least one in ``hot`` of all words have numbers and are broadcast with their counts; the others are told
 apart by their 64-bit hashes. Pairs of numbered words are two numbers in one integer. Those frequent anywhere are found as heavy
 hitters: what makes up 1 / (2 h) of a batch is counted there, and what reaches N / (2 h) in sum is in the head. The head
-has at most 2 h pairs and contains every pair with more than N / h occurrences; it is broadcast. Everything else goes through
-one shuffle, by pair or by the rare word in it, in which the counts and the texts they occur in meet; as each key is rare, no
-task gets a hot one. A pair of two rare words is sent to both, as each knows its own count only.
+has at most 2 h pairs and contains every pair with more than N / h occurrences; it is broadcast. All other n-grams are partitioned
+by the hash of the pair, or of the rare word in it: a partition sums up its count table and looks its n-grams up there, and what they
+add to a text's score goes back to the text. No key of a partition is hot, as h grows with the corpus. A pair of two rare words is sent
+to both, as each knows its own count only.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from counterscope.llm.batches import slices
 from counterscope.llm.shared import map_batches, staged, text_key
 from counterscope.llm.words import Words
 
 UNKNOWN = 0
 SHIFT = 22  # bits of the second word number in a pair
+HEAVY = 1 << 18  # pairs with more than this share of all are in the head
+MOST = 1 << 22  # occurrences of a pair outside the head, at most
+TASK = 1 << 21  # rows that count in one task, on average
 # What a shuffled row is about: two numbered words; a rare word before a numbered one, or after one; two rare words, sent to
 # the second, or to the first; a rare word at the beginning of a text. Kept in the last three bits of ``pair``, above which is the
 # other word's number, or 48 bits of its hash: ``key`` is the rare word (or the two numbers), so few others are to be told apart.
@@ -61,14 +65,6 @@ def spread(pairs: np.ndarray) -> np.ndarray:
         return pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` texts and about ``size`` bytes, which bounds the memory of a task."""
-    for whole in batches:
-        step = max(1, min(rows, whole.num_rows * size // max(1, whole.nbytes)))
-        for at in range(0, whole.num_rows, step):
-            yield whole.slice(at, step)
-
-
 def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.sort(values)
     first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
@@ -110,7 +106,7 @@ def _vocabulary(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in _slices(batches):
+        for batch in slices(batches):
             parts.append(_unique(Words(batch.column("text")).hashes))
             size += len(parts[-1][0])
             if size > 1_000_000:
@@ -129,10 +125,10 @@ def _vocabulary(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int
     words = map_batches(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = staged(words, "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    rows = words.filter(F.col("n") * size >= total).collect()  # at most ``size`` rows
-    hashes = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
+    rows = words.filter(F.col("n") * size >= total).select("word", "n").toArrow()  # at most ``size`` rows of 16 bytes
+    hashes = rows.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    counts = np.array([r["n"] for r in rows], dtype=np.int64)[order]
+    counts = rows.column("n").to_numpy()[order]
     return hashes[order], np.concatenate([[total - counts.sum()], counts]), total
 
 
@@ -141,7 +137,7 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(vocabulary)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             number, _, _, at, pairs = numbers.read(batch.column("text"))
             rare = numbers.rare(number)
             pairs, n = _unique(pairs[~(rare[at - 1] | rare[at])])
@@ -149,12 +145,12 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(n[keep])], ["pair", "n"])
 
     sums = map_batches(docs.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = sums.filter(F.col("n") * 2 * heavy >= total).select("pair").collect()  # at most 2 * heavy rows
-    return np.sort(spread(np.array([r["pair"] for r in rows], dtype=np.int64)))
+    rows = sums.filter(F.col("n") * 2 * heavy >= total).select("pair").toArrow()  # at most 2 * heavy rows of 8 bytes
+    return np.sort(spread(rows.column("pair").to_numpy()))
 
 
 def lm_scores(
-    docs: DataFrame, least: int = 2, alpha: float = 0.4, vocabulary: int | None = None, heavy: int = 1 << 15, hot: int = 1 << 20
+    docs: DataFrame, least: int = 2, alpha: float = 0.4, vocabulary: int | None = None, heavy: int | None = None, hot: int = (1 << SHIFT) - 1
 ) -> DataFrame:
     """Score every text of documents (doc_id, text) under the counts of all of them.
 
@@ -162,7 +158,9 @@ def lm_scores(
     n_backoff (words scored by backing off), log10_sum and log10_mean of S (null without words). Null text counts as
     empty. Rows that repeat doc_id and text have equal scores, and their words count as often as they occur.
     With a ``vocabulary`` words rarer than one in so many count as one unknown word. ``hot`` and ``heavy`` say what is
-    broadcast and change no score.
+    broadcast and change no score; by default ``heavy`` grows with the corpus so that no pair outside the head occurs more than ``MOST``
+    times. Texts are read whole; a task holds the words of some 4 MB of text or of one longer text, and a count task some ``TASK`` rows. An
+    empty table gives no rows. Other columns, whatever their names, are not read.
     """
     if max(vocabulary or hot, 1) >= 1 << SHIFT:
         raise ValueError(f"at most {(1 << SHIFT) - 1} words can have numbers")
@@ -171,11 +169,12 @@ def lm_scores(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text"))
     known = (*_vocabulary(texts, vocabulary or hot), vocabulary is not None)
     words = context.broadcast(known)
+    heavy = heavy or max(HEAVY, known[2] // MOST)
     head = context.broadcast(_head(texts, words, heavy, known[2]))
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             number, hashes, bounds, at, pairs = numbers.read(batch.column("text"))
             rare = numbers.rare(number)
             before, after = rare[at - 1], rare[at]
@@ -203,16 +202,15 @@ def lm_scores(
     def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
         counts = np.zeros(len(head.value), dtype=np.int64)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = table.find(spread(numbers.read(batch.column("text"))[4]))
             counts += np.bincount(found[found >= 0], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "n"])
 
-    sums = map_batches(texts.select("text"), head_counts, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    sums = map_batches(texts.select("text"), head_counts, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     head_n = np.zeros(len(head.value), dtype=np.int64)
-    for r in sums:  # a row per head pair
-        head_n[r["place"]] = r["n"]
+    head_n[sums.column("place").to_numpy()] = sums.column("n").to_numpy()  # a row per head pair
     head_sums = context.broadcast(head_n)
 
     # log10 of c(v w) / c(v) over alpha c(w) / N, for pairs that are frequent enough
@@ -221,7 +219,7 @@ def lm_scores(
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(words), Table(head.value)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             number, _, bounds, at, pairs = numbers.read(batch.column("text"))
             found = table.find(spread(pairs))
             n = np.where(found >= 0, head_sums.value[np.maximum(found, 0)], 0) if len(head_sums.value) else np.zeros(len(pairs))
@@ -237,10 +235,27 @@ def lm_scores(
             columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(bounds)), pa.array(parts[0]), pa.array(parts[1])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_words", "score", "backed"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """The rows of one hash partition, each with its key's and its pair's count from the partition's count table."""
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        key, pair, n = (rows.column(c).to_numpy() for c in ("key", "pair", "n"))
+        order = np.lexsort((pair, key))
+        key, pair, n = key[order], pair[order], n[order]
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new_pair = new_key | np.concatenate([[True], pair[1:] != pair[:-1]])
+        # a rare word occurs where it is second or starts a text
+        occurs = np.isin(pair & 7, (AFTER_HOT, SECOND, START))
+        own, total = (np.add.reduceat(x, np.flatnonzero(at)) for x, at in ((np.where(occurs, n, 0), new_key), (n, new_pair)))
+        own, total = own[np.cumsum(new_key) - 1], total[np.cumsum(new_pair) - 1]
+        keep = np.flatnonzero((total >= least) | occurs)
+        yield rows.select(["doc_id", "text_key"]).take(pa.array(order[keep])), *(x[keep] for x in (key, pair, n, total, own))
+
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(words)
-        for batch in batches:
-            key, pair, n, total, own = (batch.column(c).to_numpy() for c in ("key", "pair", "n", "total", "own"))
+        for batch, key, pair, n, total, own in counted(batches):
             kind, other = pair & 7, pair >> 3
             often, hot_pair = total >= least, kind == BOTH_HOT
             v = np.where(hot_pair, key >> SHIFT, np.where(kind == AFTER_HOT, other, 0))
@@ -261,16 +276,12 @@ def lm_scores(
             )
             hits = np.where(often & (kind != FIRST) & (kind != START), n, 0)
             columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n * value), pa.array(hits)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "gain", "n"])
+            yield from pa.Table.from_arrays(columns, ["doc_id", "text_key", "gain", "n"]).to_batches(max_chunksize=1 << 16)
 
     rare = map_batches(texts, tail, "doc_id long, text_key long, key long, pair long, n long")
-    kind = F.col("pair").bitwiseAND(F.lit(7))
-    # a rare word occurs where it is second or starts a text; by key first, so that one shuffle and one sort serve both
-    by_key = Window.partitionBy("key").orderBy("pair").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = rare.withColumn("own", F.sum(F.when(kind.isin(AFTER_HOT, SECOND, START), F.col("n")).otherwise(0)).over(by_key))
-    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("key", "pair")))
-    counted = counted.filter((F.col("total") >= least) | kind.isin(AFTER_HOT, SECOND, START))
-    added = map_batches(counted, gains, "doc_id long, text_key long, gain double, n long")
+    # one shuffle by key brings a pair's occurrences together; keys are rare, and there are as many partitions as their rows need
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known[2] // TASK))
+    added = map_batches(rare.repartition(tasks, "key"), gains, "doc_id long, text_key long, gain double, n long")
     added = added.groupBy("doc_id", "text_key").agg(F.sum("gain").alias("gain"), F.sum("n").alias("hits"))
     rows = map_batches(texts, base, "doc_id long, text_key long, n_words long, score double, backed double")
     rows = staged(rows, "lm-rows")
