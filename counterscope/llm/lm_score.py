@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from counterscope.llm.batches import slices
 from counterscope.llm.shared import map_batches, staged, text_key
-from counterscope.llm.words import Words
+from counterscope.llm.words import Words, mixed
 
 UNKNOWN = 0
 SHIFT = 22  # bits of the second word number in a pair
-HEAVY = 1 << 18  # pairs with more than this share of all are in the head
+HEAVY = 1 << 19  # pairs that make up more than one in this many are in the head
+BATCH = 1 << 22  # pairs among which heavy hitters are looked for at a time
 MOST = 1 << 22  # occurrences of a pair outside the head, at most
 TASK = 1 << 21  # rows that count in one task, on average
 # What a shuffled row is about: two numbered words; a rare word before a numbered one, or after one; two rare words, sent to
@@ -136,13 +137,22 @@ def _head(docs: DataFrame, vocabulary: Broadcast, heavy: int, total: int) -> np.
     """Scrambled pairs that are frequent over the corpus, sorted; at most 2 * heavy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(vocabulary)
+        numbers, parts, size = Numbers(vocabulary), [], 0
         for batch in slices(batches):
             number, _, _, at, pairs = numbers.read(batch.column("text"))
             rare = numbers.rare(number)
-            pairs, n = _unique(pairs[~(rare[at - 1] | rare[at])])
-            keep = n * 2 * heavy >= n.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(n[keep])], ["pair", "n"])
+            parts.append(pairs[~(rare[at - 1] | rare[at])])
+            size += len(parts[-1])
+            if size >= BATCH:
+                yield frequent(parts)
+                parts, size = [], 0
+        if size:
+            yield frequent(parts)
+
+    def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, n = _unique(np.concatenate(parts))
+        keep = n * 2 * heavy >= n.sum()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[keep]), pa.array(n[keep])], ["pair", "n"])
 
     sums = map_batches(docs.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     rows = sums.filter(F.col("n") * 2 * heavy >= total).select("pair").toArrow()  # at most 2 * heavy rows of 8 bytes
@@ -189,7 +199,8 @@ def lm_scores(
             row = np.searchsorted(bounds, np.concatenate([at[cold], v, w, starts]), "right") - 1
             key = np.concatenate([pairs[cold], *(hashes[x].view(np.int64) for x in (v, w, starts))])
             pair = np.concatenate([np.full(len(cold), BOTH_HOT), *others, np.full(len(starts), START)])
-            order = np.lexsort((pair, key, row))
+            # by text, and equal rows together; should hashes meet, a row comes twice and is summed where it is counted
+            order = np.argsort(row.astype(np.uint64) << np.uint64(54) | mixed((key ^ pair * 0x1E3779B97F4A7C15).view(np.uint64)) >> np.uint64(10))
             row, key, pair = row[order], key[order], pair[order]
             fresh = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
             first = np.flatnonzero(np.concatenate([[True], fresh])) if len(row) else row
