@@ -52,35 +52,43 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
     Returns one row per input row: doc_id, text_key, keep_id (least doc_id of the group), group_size, kept
     (doc_id is keep_id), stays (as kept, and the text as stored is the one to stay), text_sha256 of the normalised text.
-    Null texts count as empty; empty texts are equal to each other. A null doc_id counts as the largest.
+    Null texts count as empty; empty texts are equal to each other. A null doc_id counts as the largest. Of equal texts
+    with one doc_id the one stored with the least hash stays. Texts are read whole; a very long one is many chunks. An empty table gives no
+    rows, and columns other than doc_id and text, whatever their names, are not read.
     ``bits`` of the hashes are used in the first attempt; fewer than 64 serve to test what follows a clash.
     """
-    last = F.lit(2**63 - 1)
+    given = F.col("doc_id").cast("long")
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), last).alias("id"), text_key().alias("text_key"), normalised().alias("normal")
+        F.coalesce(given, F.lit(2**63 - 1)).alias("id"),
+        given.isNull().alias("none"),  # tells a null id from the largest, and comes after it
+        text_key().alias("text_key"),
+        normalised().alias("normal"),
     )
     attempt = _verified_attempt(texts, bits)
     recipe = F.flatten(F.transform(_chunks("normal"), lambda c: F.array(*_identifier(c, attempt, bits))))
     rows = staged(
-        texts.select("id", "text_key", recipe.alias("recipe"), F.sha2(F.col("normal"), 256).alias("text_sha256")), "recipes"
+        texts.select("id", "none", "text_key", recipe.alias("recipe"), F.sha2(F.col("normal"), 256).alias("text_sha256")), "recipes"
     )
-    groups = rows.groupBy("recipe").agg(F.min(F.struct("id", "text_key")).alias("least"), F.count("*").alias("group_size"))
+    groups = rows.groupBy("recipe").agg(F.min(F.struct("id", "none", "text_key")).alias("least"), F.count("*").alias("group_size"))
     groups = staged(groups.filter("group_size > 1"), "copies")
-    own = F.struct("id", "text_key")
+    own = F.struct("id", "none", "text_key")
     stay = F.coalesce(F.col("least"), own)
     return rows.join(groups, "recipe", "left").select(
-        F.nullif("id", last).alias("doc_id"),
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "text_key",
-        F.nullif(stay["id"], last).alias("keep_id"),
+        F.when(~stay["none"], stay["id"]).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("id") == stay["id"]).alias("kept"),
+        ((F.col("id") == stay["id"]) & (F.col("none") == stay["none"])).alias("kept"),
         (own == stay).alias("stays"),
         "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one row of every group of equal texts; all columns stay."""
+    """Keep one row of every group of equal texts; all columns stay, whatever their names.
+
+    The row with the least doc_id stays, null last; of rows equal in doc_id and text any one. An empty table stays empty.
+    """
     rows = staged(exact_duplicates(docs), "exact-rows").filter("group_size > 1")
     key = [F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")]
     dropped = rows.filter(~F.col("stays")).select(key).distinct()

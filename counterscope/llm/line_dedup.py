@@ -39,13 +39,14 @@ def _hashed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("high"), F.xxhash64(F.lit(1), line).alias("low"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 2) -> DataFrame:
     """Drop the boilerplate lines of pages (page_id, url, html).
 
     A line is boilerplate if more than ``ratio`` of its host's pages contain it, and at least ``least_pages`` do. Returns one row
     per page: page_id, host, n_lines, n_dropped, text (kept lines, joined by line breaks). Null html has no
-    lines; pages whose url has no host keep all lines. Repeated rows are pages of their own. Lines are told
-    apart by 128 bits of hash.
+    lines; pages whose url has no host keep all lines. Repeated rows are pages of their own. A line on exactly ``ratio`` of the pages stays.
+    By default two pages are enough, as one alone cannot show a line to be shared. Lines are told apart by 128 bits of hash. Pages are read whole; an
+    empty table gives no rows; columns other than page_id, url and html, whatever their names, are not read.
     """
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     hosted = read.filter("host is not null")

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from counterscope.llm.shared import counted_broadcast, staged
+from counterscope.llm.shared import counted_broadcast, positioned, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 HASH_BITS, LEVEL_BITS = 60, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def document_hash() -> Column:
+def document_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
     """60 bits that depend on id and text, the same in every engine that has MD5."""
-    known = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))
+    known = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(known), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -138,6 +138,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3) -> D
     documents and stop at ``most`` times a source. Size is the number of words; null and wordless texts have 0 and are
     taken whole-pass only in name, with 0 words. A document is taken 0 to ``most`` times, whole each time. Equal rows (same doc_id and text) are
     taken alike. Returns one row per input row: doc_id, hash, size, source, source_size, target, times, taken.
+    Documents whose hashes are equal are on the same side of a threshold. Texts are read whole, an empty table gives no rows,
+    and columns other than doc_id, text and source, whatever their names, are not read.
     """
     sized = staged(
         docs.select(
@@ -158,14 +160,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3) -> D
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3) -> DataFrame:
-    """The documents of the mix, all columns, each as often as it is taken; wordless documents are left out."""
+    """The documents of the mix, all columns, whatever their names, each as often as it is taken.
+
+    Documents without words, null texts among them, are left out. A null source is a source. Rows with equal doc_id and text are taken alike;
+    documents whose hashes tie at a threshold too. Texts are read whole; an empty table stays empty.
+    """
     rows = mix(docs, weights, most)
-    cut = staged(rows.filter("size > 0").select("source", "times", "hash").groupBy("source", "times").agg(
-        F.min("hash").alias("low"), F.max("hash").alias("high")), "ranges").withColumnRenamed("source", "of")
-    keyed = docs.withColumn("__hash", document_hash()).withColumn("__size", F.regexp_count("text", F.lit(WORD)))
-    taken = keyed.join(
-        counted_broadcast(cut), keyed["source"].eqNullSafe(F.col("of")) & F.col("__hash").between(F.col("low"), F.col("high"))
-    ).filter("__size > 0")
-    again = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return taken.filter("times > 0").select(*names, again).select(*names)
+    ranges = rows.filter("size > 0").groupBy("source", "times").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    cut = counted_broadcast(staged(ranges.withColumnRenamed("source", "of"), "ranges"))
+    plain, renamed = positioned(docs)
+    keyed = plain.withColumn("hash", document_hash(renamed["doc_id"], renamed["text"]))
+    keyed = keyed.withColumn("words", F.regexp_count(renamed["text"], F.lit(WORD)))
+    same = F.col(renamed["source"]).eqNullSafe(F.col("of")) & F.col("hash").between(F.col("low"), F.col("high"))
+    taken = keyed.join(cut, same).filter("words > 0 AND times > 0")
+    again = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass")
+    return taken.select(*plain.columns, again).drop("pass").toDF(*docs.columns)

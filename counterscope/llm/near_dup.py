@@ -31,13 +31,15 @@ from pyspark.sql.window import Window
 from counterscope.llm.shared import components, counted_broadcast, map_batches, one_of_each, staged, text_key, without
 from counterscope.llm.words import shingle_sets, word_hashes
 
+# A null doc_id has the largest id and is told from that by ``none``, so it comes last.
 LAST_ID = 2**63 - 1
+OWN = ("id", "none", "text_key")
 # Standard deviations the estimate may lie below the threshold.
 MARGIN = 6.0
 
 
 def _scan(width: int, size: int, full: bool):
-    """Map batches (id, text_key, text) to sets: their number, digest and sketch, or with ``full`` all values."""
+    """Map batches (id, none, text_key, text) to sets: their number, digest and sketch, or with ``full`` all values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -53,12 +55,13 @@ def _scan(width: int, size: int, full: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
+                        batch.column("none"),
                         batch.column("text_key"),
                         pa.array(counts, pa.int64()),
                         pa.array(nodes, pa.binary()),
                         pa.array(values, kind),
                     ],
-                    ["id", "text_key", "n_shingles", "node", "set" if full else "sketch"],
+                    ["id", "none", "text_key", "n_shingles", "node", "set" if full else "sketch"],
                 )
 
     return run
@@ -68,6 +71,7 @@ def _row_schema(last: T.StructField) -> T.StructType:
     return T.StructType(
         [
             T.StructField("id", T.LongType()),
+            T.StructField("none", T.BooleanType()),
             T.StructField("text_key", T.LongType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.BinaryType()),
@@ -118,12 +122,12 @@ def _links(pairs: DataFrame, members: DataFrame, percent: int, size: int) -> Dat
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct shingle set, with the least (id, text_key) of its texts."""
+    """One row per distinct shingle set, with the least (id, none, text_key) of its texts."""
     return (
         rows.filter(F.col("node").isNotNull())
         .groupBy("node")
         .agg(
-            F.min(F.struct("id", "text_key")).alias("least"),
+            F.min(F.struct(*OWN)).alias("least"),
             F.count("*").alias("copies"),
             F.first("n_shingles").alias("n"),
             F.first("sketch").alias("sketch"),
@@ -217,12 +221,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
     kept (doc_id is the component's), stays (exactly this text stays for its component; several equal
     rows may), copies. Null or wordless texts have an empty set and are linked with nothing. A null doc_id
     counts as the largest: such a row is labelled null only in a component without ids. Rows that repeat a doc_id with
-    other text are texts of their own. Columns other than doc_id and text are not read.
+    other text are texts of their own; of texts with one doc_id the one with the least hash goes first. Texts are read whole, whatever their
+    length. An empty table gives no rows. Columns other than doc_id and text, whatever their names, are not read.
     """
     if percent < 80 or size < 64:
         raise ValueError("sketches of 64 values are safe from 80 percent on")
+    given = F.col("doc_id").cast("long")
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_key().alias("text_key"), F.col("text")
+        F.coalesce(given, F.lit(LAST_ID)).alias("id"), given.isNull().alias("none"), text_key().alias("text_key"), F.col("text")
     )
     sketch = T.StructField("sketch", T.ArrayType(T.LongType()))
     rows = staged(map_batches(texts, _scan(width, size, False), _row_schema(sketch)), "sketches")
@@ -250,17 +256,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
         alone = known.filter("copies > 1").join(found, "node", "left_anti").select("node", "least")
         named = linked.unionByName(alone)
     named = counted_broadcast(staged(named, "names"))
-    own = F.struct("id", "text_key")
+    own = F.struct(*OWN)
     label = F.coalesce(F.col("least"), own)
     return (
         rows.drop("sketch")
         .join(named, "node", "left")
         .select(
-            F.nullif("id", F.lit(LAST_ID)).alias("doc_id"),
+            F.when(~F.col("none"), F.col("id")).alias("doc_id"),
             "text_key",
             "n_shingles",
-            F.nullif(label["id"], F.lit(LAST_ID)).alias("component_id"),
-            (F.col("id") == label["id"]).alias("kept"),
+            F.when(~label["none"], label["id"]).alias("component_id"),
+            ((F.col("id") == label["id"]) & (F.col("none") == label["none"])).alias("kept"),
             (own == label).alias("stays"),
             F.col("least").isNotNull().alias("grouped"),
         )
@@ -268,7 +274,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Keep one row of every component of near-duplicate texts; all columns stay."""
+    """Keep one row of every component of near-duplicate texts; all columns stay, whatever their names.
+
+    The row with the least doc_id stays, null last, and of texts with one doc_id the one with the least hash; of equal rows any
+    one. Texts without words are linked with nothing and stay. An empty table stays empty.
+    """
     rows = staged(near_duplicates(docs, percent), "near-rows")
     key = [F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")]
     dropped = rows.filter(~F.col("stays")).select(key).distinct()

@@ -211,9 +211,15 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """Keep documents whose score is at least ``least``; all columns stay."""
-    scored = quality(docs, labels, name="__quality")
-    return scored.filter(F.col("__quality") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keep documents whose score is at least ``least``; all columns stay, whatever their names.
+
+    Empty and null texts have the score of a share of one half. Equal texts have equal scores, so repeated rows stay or go
+    together. Texts are read whole; an empty table stays empty.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (f"quality_{i}" for i in range(len(taken) + 1)) if n not in taken)
+    scored = quality(docs, labels, name=name)
+    return scored.filter(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fold(parts: int, id_column: str = "doc_id") -> Column:

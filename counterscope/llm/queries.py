@@ -229,7 +229,7 @@ WITH read AS (
 ), often AS (
   SELECT c.host, list(c.line) AS drops FROM (SELECT host, line, count(*) AS having_ FROM once GROUP BY host, line) c
   JOIN (SELECT host, count(*) AS pages FROM read GROUP BY host) t USING (host)
-  WHERE c.having_ >= 3 AND c.having_ > 0.3::DOUBLE * t.pages GROUP BY c.host
+  WHERE c.having_ >= 2 AND c.having_ > 0.3::DOUBLE * t.pages GROUP BY c.host
 )
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text
 FROM (SELECT page_id, r.host, lines, CASE WHEN drops IS NULL THEN lines

@@ -71,24 +71,34 @@ def counted_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def positioned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns c0, c1, ..., which no helper column can clash with, and the new name of each."""
+    renamed = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*renamed.values()), renamed
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Column]]:
+    """Positioned rows with their ``row_key``, and what makes a row meet an entry (drop_id, drop_key)."""
+    rows, renamed = positioned(docs)
+    keyed = rows.withColumn("row_key", text_key(renamed["text"]))
+    return keyed, lambda side: keyed[renamed["doc_id"]].eqNullSafe(side["drop_id"]) & (keyed["row_key"] == side["drop_key"])
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Documents whose (doc_id, text) is not in ``dropped`` (drop_id, drop_key); null ids match null ids."""
-    keyed = docs.withColumn("__key", text_key())
+    keyed, hit = _keyed(docs)
     side = counted_broadcast(dropped.select(F.col("drop_id"), F.col("drop_key")))
-    hit = keyed["doc_id"].eqNullSafe(side["drop_id"]) & (keyed["__key"] == side["drop_key"])
-    return keyed.join(side, hit, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(side, hit(side), "left_anti").drop("row_key").toDF(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Keep one of the rows that share (doc_id, text) with an entry of ``repeated`` (drop_id, drop_key)."""
     if repeated.isEmpty():
         return docs
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__key", text_key())
+    keyed, hit = _keyed(docs)
     side = counted_broadcast(repeated)
-    hit = keyed["doc_id"].eqNullSafe(side["drop_id"]) & (keyed["__key"] == side["drop_key"])
-    again = keyed.join(side, hit, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return keyed.join(side, hit, "left_anti").select(names).unionByName(again.select(names))
+    again = keyed.join(side, hit(side), "left_semi").dropDuplicates([keyed.columns[docs.columns.index("doc_id")], "row_key"])
+    return keyed.join(side, hit(side), "left_anti").unionByName(again).drop("row_key").toDF(*docs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
