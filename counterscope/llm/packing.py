@@ -5,14 +5,16 @@ pieces fill sequences by themselves. The others are dealt to groups of bounded s
 fit first, longest pieces first, and then improved: an underfull bin takes a piece from an emptier one, or exchanges one
 piece for a longer one, or two pieces for one, or one for two. Every step raises the sum of squared fills, so fuller bins fill up
 and emptier ones drain until they can be closed. What stays underfull is dealt anew to fewer groups and
-improved again.
+improved again, turn by turn.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -122,11 +124,11 @@ class Bins:
                 open_ |= 1 << (room - size)
         return bins
 
-    def improve(self, rounds: int = 4) -> None:
-        """Local search over underfull bins until a round changes nothing."""
-        for _ in range(rounds):
-            if not self._round():
-                break
+    def improve(self) -> None:
+        """Local search over underfull bins until a round no longer raises the sum of squared fills."""
+        squares = -1
+        while (now := sum(f * f for f in self.fill)) > squares and self._round():
+            squares = now
         kept = [b for b in range(len(self.bins)) if self.bins[b]]
         self.bins, self.fill = [self.bins[b] for b in kept], [self.fill[b] for b in kept]
 
@@ -148,9 +150,10 @@ class Bins:
         return changed
 
     def _sums(self, b: int) -> tuple[set[int], set[int]]:
-        sizes = [self.lengths[i] for i in self.bins[b]]
-        pairs = {x + y for k, x in enumerate(sizes[:12]) for y in sizes[k + 1 : 12] if x + y <= self.capacity}
-        return set(sizes), pairs
+        sizes = Counter(self.lengths[i] for i in self.bins[b])
+        distinct = list(sizes)  # few: different sizes that fit one bin
+        pairs = {x + y for k, x in enumerate(distinct) for y in distinct[k + 1 :]}
+        return set(distinct), pairs | {2 * x for x, n in sizes.items() if n > 1}
 
     def _index(self, b: int) -> None:
         ones, twos = self._sums(b)
@@ -220,8 +223,12 @@ class Bins:
             return []
         if n == 1:
             return [next(k for k in items if self.lengths[k] == total)]
-        first = items[:12]
-        return next([x, y] for k, x in enumerate(first) for y in first[k + 1 :] if self.lengths[x] + self.lengths[y] == total)
+        seen: dict[int, int] = {}
+        for k in items:
+            if total - self.lengths[k] in seen:
+                return [seen[total - self.lengths[k]], k]
+            seen[self.lengths[k]] = k
+        raise ValueError("no such pair")
 
 
 def _pack_group(capacity: int, again: bool):
@@ -245,36 +252,41 @@ _PACKED = PIECES + ", sequence_id long, offset long, fill long"
 _COLUMNS = [c.split()[0] for c in _PACKED.split(", ")]
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, group: int = GROUP, least_gain: float = 0.001) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32) into sequences of at most ``capacity`` tokens.
 
     Returns the pieces with sequence_id, offset (gapless from 0 in each sequence) and fill. ``group`` bounds how many pieces
-    are packed together; no piece is left out. Repeated rows are pieces of their own.
+    are packed together; no piece is left out. What stays in underfull sequences is dealt anew and improved again, until it fits one group
+    or a turn closes fewer than ``least_gain`` of these sequences.
+
+    Repeated rows are pieces of their own, and pieces of equal length may change places between runs over other partitions. An empty
+    table gives no rows. Other columns are not read.
     """
     pieces = staged(pieces, "pieces")
     short = pieces.filter(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group))
     ship(pieces.sparkSession)
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias("deal")
-    dealt = short.select("*", deal)
-    once = staged(
-        dealt.select(*PIECES_COLUMNS, "deal", F.lit(0).cast("long").alias("sequence_id")).groupBy("deal").applyInPandas(
-            _pack_group(capacity, False), _PACKED
-        ),
-        "packed",
-    )
-    whole = pieces.filter(F.col("length") >= capacity).select(
+    dealt = short.select(*PIECES_COLUMNS, F.lit(0).cast("long").alias("sequence_id"), deal)
+    packed = staged(dealt.groupBy("deal").applyInPandas(_pack_group(capacity, False), _PACKED), "packed")
+    closed = pieces.filter(F.col("length") >= capacity).select(
         *PIECES_COLUMNS,
-        (F.lit(2 << 56) + F.monotonically_increasing_id()).alias("sequence_id"),
+        (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("fill"),
     )
-    loose = once.filter(F.col("fill") < capacity)
-    fewer = max(1, -(-loose.count() // group))
-    deal = F.pmod(F.xxhash64("sequence_id"), F.lit(fewer)).alias("deal")
-    better = loose.select(*PIECES_COLUMNS, "sequence_id", deal).groupBy("deal").applyInPandas(_pack_group(capacity, True), _PACKED)
-    better = better.withColumn("sequence_id", F.col("sequence_id") + F.lit(1 << 56))
-    return whole.unionByName(once.filter(F.col("fill") >= capacity)).unionByName(better)
+    for turn in itertools.count(1):
+        loose = packed.filter(F.col("fill") < capacity)
+        n = loose.agg(F.count("*").alias("pieces"), F.count_if(F.col("offset") == 0).alias("bins")).first()
+        if turn > 1 and (groups == 1 or before - n["bins"] < least_gain * before):
+            return closed.unionByName(packed)
+        groups, before = max(1, -(-n["pieces"] // group)), n["bins"]
+        closed = closed.unionByName(packed.filter(F.col("fill") >= capacity))
+        deal = F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("deal")
+        dealt = loose.select(*PIECES_COLUMNS, "sequence_id", deal)
+        packed = dealt.groupBy("deal").applyInPandas(_pack_group(capacity, True), _PACKED)
+        # numbers of a turn begin where those of the one before end
+        packed = staged(packed.withColumn("sequence_id", F.col("sequence_id") + F.lit(turn << 56)), "packed")
 
 
 PIECES_COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
