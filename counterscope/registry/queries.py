@@ -82,7 +82,7 @@ def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _comparison(spark: SparkSession, sf_dir: str, **settings) -> cp.Comparison:
-    return cp.Comparison(dv.stored(dv.event_snapshots(spark, sf_dir)), _SERVERS, **settings)
+    return cp.Comparison(dv.stored_events(spark, sf_dir), _SERVERS, **settings)
 
 
 # Sources
@@ -194,7 +194,7 @@ sizes AS (
 
 
 def _collection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = dv.stored(dv.event_snapshots(spark, sf_dir))
+    log = dv.stored_events(spark, sf_dir)
     filtered = cl.collect_clean(log, query_filter="purchase", ignore_performance_schema=True)
     return cl.collection_rows(filtered, cl.snapshot_index(log))
 
@@ -286,7 +286,7 @@ def delta_outcomes(spark, sf_dir):
 
 @query(sq.with_(*_DEDUPED, sq.period()) + _DELTA_SELECT + "period")
 def first_last(spark, sf_dir):
-    log = dv.stored(dv.event_snapshots(spark, sf_dir))
+    log = dv.stored_events(spark, sf_dir)
     return plain_times(dl.first_last(dl.at_ends(cl.clean(log), log)))
 
 
@@ -350,7 +350,7 @@ FROM (SELECT count(*) AS n FROM period WHERE server_id = 0) p,
 
 
 def _status(spark: SparkSession, sf_dir: str, query_filter: str) -> DataFrame:
-    log = dv.stored(dv.event_snapshots(spark, sf_dir))
+    log = dv.stored_events(spark, sf_dir)
     period = cp.Comparison(log, _SERVERS, query_filter=query_filter).period()
     return idle_status(period, log, _SERVERS[0])
 
@@ -453,14 +453,14 @@ def compare_servers(spark, sf_dir):
 )
 def compare_wide(spark, sf_dir):
     """The other server ranks, its own monitoring left out, more queries."""
-    log = dv.stored(dv.event_snapshots(spark, sf_dir))
+    log = dv.stored_events(spark, sf_dir)
     wide = cp.compare_servers(log, (1, 0), top_n=12, ignore_performance_schema=True)
     return _rounded_wide(wide, (1, 0))
 
 
 @query(sq.with_(sq.compared(_LOG, (1,))) + _wide_sql((1,)))
 def profile_server(spark, sf_dir):
-    return _rounded_wide(cp.profile_server(dv.stored(dv.event_snapshots(spark, sf_dir)), 1), (1,))
+    return _rounded_wide(cp.profile_server(dv.stored_events(spark, sf_dir), 1), (1,))
 
 
 @query(
@@ -603,7 +603,7 @@ UNION ALL SELECT server_id, query_rank, metric_ord, concat('  Avg ', metric, ':
 FROM metrics"""
 )
 def server_listing(spark, sf_dir):
-    log = dv.stored(dv.event_snapshots(spark, sf_dir))
+    log = dv.stored_events(spark, sf_dir)
     servers = server_dim(dv.event_servers(spark, sf_dir))
     metrics = cp.Comparison(log, _SERVERS).metrics()
     return rp.server_listing(metrics, servers, cl.sample_counts(log))
@@ -783,12 +783,12 @@ def lineitem_metric_stats(spark, sf_dir):
     sq.with_(_ITEM_COMPARED) + "SELECT query_rank, digest, schema_name, query_key, sum_timer_wait FROM topkeys"
 )
 def lineitem_topn(spark, sf_dir):
-    return cp.Comparison(dv.stored(dv.lineitem_snapshots(spark, sf_dir)), _ITEM_SERVERS).top_keys
+    return cp.Comparison(dv.stored_lineitem(spark, sf_dir), _ITEM_SERVERS).top_keys
 
 
 @query(sq.with_(_ITEM_COMPARED) + _wide_sql(_ITEM_SERVERS))
 def lineitem_compare(spark, sf_dir):
-    wide = cp.compare_servers(dv.stored(dv.lineitem_snapshots(spark, sf_dir)), _ITEM_SERVERS)
+    wide = cp.compare_servers(dv.stored_lineitem(spark, sf_dir), _ITEM_SERVERS)
     return _rounded_wide(wide, _ITEM_SERVERS)
 
 
