@@ -38,7 +38,8 @@ def chat_examples(turns: DataFrame) -> DataFrame:
     ``loss_start`` counts characters from 0 and ``loss_length`` is the trainable reply as escaped; an
     example without a reply has length 0. Null roles and texts count as empty. Turns are ordered by turn, nulls first, ties by role and then
     text; repeated rows are turns of their own. Rows with null conv_id form one conversation. A conversation
-    is one row, as an example holds all turns before its reply; other columns are not read.
+    is one row, as an example holds all turns before its reply, so conversations and texts are as long as a row can be. An empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     blank = F.lit("")
     turn = F.struct(

@@ -112,7 +112,8 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5
     ``is_query`` tells from the id which rows are queries. Returns query_id, rank (from 1; ties to the smaller
     vec_id), vec_id, score (exact cosine in double precision). Null ids and vectors that are null, empty, zero, or
     hold null or non-finite components take no part. Vectors of different lengths are compared with their like
-    only. Rows with the same vec_id are one candidate, the nearest of them. Every row is indexed.
+    only. Rows with the same vec_id are one candidate, the nearest of them. Every row is indexed. An empty table
+    gives no rows, and columns other than vec_id and embedding, whatever their names, are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = staged(rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("size", F.size("vector")), "vectors")

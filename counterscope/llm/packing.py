@@ -74,7 +74,9 @@ def token_pieces(
 ) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of documents (doc_id, text); with ``keep_ids`` also their token ids.
 
-    A document's tokens are its text's and END_OF_TEXT; null text counts as empty, so every row has a piece.
+    A document's tokens are its text's and END_OF_TEXT; null text counts as empty, so every row has a piece. A long text is tokenized
+    whole and cut into pieces of ``capacity``. Rows with equal doc_id or text each have their own pieces. An empty table gives none; columns other than
+    doc_id and text, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
