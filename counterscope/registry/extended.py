@@ -26,6 +26,7 @@ from counterscope.sources.collections import read_collections, write_collections
 from counterscope.sources.servers import server_dim
 from counterscope.sources.snapshots import collect_round, scan_keys
 from counterscope.streaming.dictionary import DictionaryStream
+from counterscope.streaming.keyed import StateStream
 from counterscope.streaming.top import TopStream
 
 __all__ = ["REGISTRY"]
@@ -64,6 +65,18 @@ def collection_round(spark, sf_dir):
     return taken.select("server_id", "collection_seq", "schema_name", "digest_text", *COUNTERS)
 
 
+@query(sq.with_(*q._DELTAS) + q._DELTA_SELECT + "deltas")
+def stream_collected_deltas(spark, sf_dir):
+    """Snapshots are collected in two rounds into a folder and read as a stream into keyed state."""
+    root = shared_folder(spark, "collected")
+    stream = StateStream("", f"{root}/out", f"{root}/checkpoint", 86400.0, 3 * 86400.0)
+    log = dv.event_snapshots(spark, sf_dir)
+    for last, part in ((False, F.col("collection_seq") <= 17), (True, F.col("collection_seq") > 17)):
+        write_collections(log.where(part), f"{root}/in")
+        stream.run_collections(spark, f"{root}/in", close=last)
+    return plain_times(stream.results(spark))
+
+
 @query(sq.with_(_LOG) + f"SELECT {q._LOG_COLUMNS} FROM snapshots WHERE digest_text ILIKE '%select P%'")
 def filter_text_nocase(spark, sf_dir):
     return plain_times(cl.filter_text(dv.event_snapshots(spark, sf_dir), "select P", case_sensitive=False))

@@ -25,6 +25,7 @@ from counterscope.functions.keys import text_contains
 from counterscope.operators.deltas import classified, delta_rejects, kept
 from counterscope.schema import BIGINT, COUNTERS, PERFORMANCE_SCHEMA, require_ansi, snapshot_schema
 from counterscope.session import ship
+from counterscope.sources.collections import read_collections, stream_collections, write_collections
 from counterscope.sources.snapshots import scan_keys
 
 LATE = "snapshot is closed: late or delivered again"
@@ -177,24 +178,46 @@ class StateStream:
         processor = SnapshotState(self.counters, kind, self.keep_s)
         return rows.groupBy("server_id", "digest", "schema_name").transformWithState(processor, out, "append", "eventTime")
 
-    def start(self, spark: SparkSession, max_files: int | None = None, **trigger) -> StreamingQuery:
-        """Start the query; by default it takes what is there and stops."""
+    def start(
+        self, spark: SparkSession, max_files: int | None = None, snapshots: DataFrame | None = None, **trigger
+    ) -> StreamingQuery:
+        """Start the query; by default it takes what is there and stops. ``snapshots``, a stream, replaces the files of ``source``."""
         before = spark.conf.get(_PROVIDER)
         spark.conf.set(_PROVIDER, _ROCKS)
         try:
-            writer = self.pairs(self.read(spark, max_files)).writeStream.partitionBy("kind").format("parquet").outputMode("append")
+            arriving = self.read(spark, max_files) if snapshots is None else snapshots
+            writer = self.pairs(arriving).writeStream.partitionBy("kind").format("parquet").outputMode("append")
             return writer.option("checkpointLocation", self.checkpoint).trigger(**(trigger or {"availableNow": True})).start(self.output)
         finally:
             spark.conf.set(_PROVIDER, before)
 
-    def close(self, spark: SparkSession) -> None:
-        """Tell the stream that all snapshots which are there are whole: the next run closes them. Newer ones may follow."""
-        schema = snapshot_schema(self.counters, self.counter_type)
-        newest = spark.read.schema(schema).parquet(self.source).agg(F.max("collected_time").alias("collected_time"))
+    def end_mark(self, snapshots: DataFrame, number: int = 0) -> DataFrame:
+        """A row that, once it has come, closes all snapshots which are in ``snapshots``. Newer ones may follow."""
+        ends = snapshots.where(F.col("server_id") != CLOCK).agg(
+            F.max("collected_time").alias("collected_time"), F.max("collection_seq").alias("collection_seq")
+        )
         later = F.timestamp_micros(F.expr("unix_micros(collected_time)") + int(self.lateness_s * 1_000_000))
-        fixed = {"server_id": F.lit(CLOCK), "collection_seq": F.lit(0), "row_ordinal": F.lit(0).cast("long"), "collected_time": later}
+        fixed = {"server_id": F.lit(CLOCK), "collection_seq": F.col("collection_seq") + number, "row_ordinal": F.lit(0), "collected_time": later}
+        schema = snapshot_schema(self.counters, self.counter_type)
         values = [fixed.get(f.name, F.lit(None if f.nullable else 0)).cast(f.dataType).alias(f.name) for f in schema]
-        newest.where("collected_time is not null").select(values).write.mode("append").parquet(self.source)
+        return ends.where("collected_time is not null").select(values)
+
+    def close(self, spark: SparkSession) -> None:
+        """Tell the stream that all snapshots which are in ``source`` are whole: the next run closes them."""
+        there = spark.read.schema(snapshot_schema(self.counters, self.counter_type)).parquet(self.source)
+        self.end_mark(there).write.mode("append").parquet(self.source)
+
+    def run_collections(self, spark: SparkSession, path: str, close: bool = False) -> None:
+        """Take the snapshots that have been collected in a folder; ``close`` also closes all of them.
+
+        A Python source gets no empty batch at the end of a run, in which timers could fire that the run's own rows have made due. So
+        the end mark is delivered twice: the first one moves the clock, and the run of the second one sees it.
+        """
+        self.start(spark, snapshots=stream_collections(spark, path, None, self.counters, self.counter_type)).awaitTermination()
+        for number in range(2 if close else 0):
+            there = read_collections(spark, path, self.counters, self.counter_type)
+            write_collections(self.end_mark(there, number), path)
+            self.start(spark, snapshots=stream_collections(spark, path, None, self.counters, self.counter_type)).awaitTermination()
 
     def _written(self, spark: SparkSession, kind: str) -> DataFrame:
         values = T.ArrayType(self.counter_type)

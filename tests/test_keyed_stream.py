@@ -120,3 +120,15 @@ def test_ranges_of_ordinals():
             assert seen_before(seen, x) == (x in known)
             known.add(x)
             assert seen == sorted(seen) and {v for a, b in zip(seen[::2], seen[1::2]) for v in range(a, b + 1)} == known
+
+
+def test_collected_snapshots_go_into_keyed_state(spark, log, tmp_path):
+    from counterscope.sources.collections import write_collections
+
+    df = random_log(log, 25, snapshots=6).cache()
+    own = StateStream("", f"{tmp_path}/out", f"{tmp_path}/checkpoint", 15, 100)
+    for last, part in ((False, "collection_seq <= 3"), (True, "collection_seq = 4"), (True, "collection_seq > 4")):
+        write_collections(df.where(part), f"{tmp_path}/in")
+        own.run_collections(spark, f"{tmp_path}/in", close=last)
+    assert rows(own.results(spark)) == rows(dl.deltas(cl.collect_clean(df))) != []
+    assert own.late_rows(spark).isEmpty()
