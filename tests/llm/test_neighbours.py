@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow.parquet as pq
 
-from counterscope.llm.neighbours import Settings, nearest
+from counterscope.llm.neighbours import Settings, block_answers, nearest, unit_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -55,3 +56,35 @@ def test_few_or_no_vectors(spark):
     check(spark, [(0, [1.0, 2.0])], 1.0)
     check(spark, [(0, [1.0, 2.0]), (1, [-1.0, 2.0])], 1.0)
     assert nearest(spark.createDataFrame([], SCHEMA), lambda i: i % 50 == 0).count() == 0
+
+
+def test_few_vectors_of_the_given_table_are_verified_and_nearly_all_nearest_are_found(spark):
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), dtype=float)
+    asked = np.flatnonzero(ids % 50 == 0)
+    q, v, s, pairs = block_answers(ids, vectors, ids[asked], vectors[asked], np.full(len(asked), np.nan), 5, Settings())
+    cosine = unit_rows(vectors[asked]) @ unit_rows(vectors).T
+    cosine[np.arange(len(asked)), asked] = -2
+    least = np.sort(cosine, axis=1)[:, -5]
+    hits = sum(int((s[q == ids[a]] >= least[i] - 1e-12).sum()) for i, a in enumerate(asked))
+    assert hits >= 0.93 * 5 * len(asked)
+    assert pairs < 0.1 * len(asked) * len(ids)
+
+
+def test_recall_of_the_query_on_the_given_table_over_several_blocks(spark):
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    rows = list(zip(table.column("vec_id").to_pylist(), table.column("embedding").to_pylist()))
+    check(spark, rows, 0.9, Settings(block=500, part=20), every=50)
+
+
+def test_a_third_of_all_rows_with_one_id_is_spread_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0 if i % 3 == 0 else i, rng.normal(size=16).tolist()) for i in range(600)] + [(0, [1.0] * 16)] * 300
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = nearest(df, lambda i: i == 0, 5, Settings(block=100)).collect()
+    floats = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows]
+    own = np.array([v for i, v in floats if i == 0])
+    others = [(i, float((unit_rows(own) @ (v / np.sqrt(v @ v))).max())) for i, v in floats if i]
+    want = sorted(others, key=lambda e: -e[1])[:5]
+    assert len(got) == 5 and len({r.vec_id for r in got} & {i for i, _ in want}) >= 4
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
