@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from counterscope.llm.shared import components, counted_broadcast, map_batches, one_of_each, staged, text_key, without
+from counterscope.llm.shared import components, counted_broadcast, likely, map_batches, one_of_each, staged, text_key, without
 from counterscope.llm.words import shingle_sets, word_hashes
 
 # A null doc_id has the largest id and is told from that by ``none``, so it comes last.
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, size: in
     lists = staged(_lists(classes), "lists")
     listed = classes.join(lists.select("node").distinct(), "node", "left_semi")
     wanted = staged(listed.select(F.col("least.id").alias("id"), F.col("least.text_key").alias("text_key")), "wanted")
-    again = texts.join(counted_broadcast(wanted), ["id", "text_key"], "left_semi")
+    # a text too many does no harm, as members are listed classes only; so no text is shuffled, however many are wanted
+    again = likely(texts, F.xxhash64("id", "text_key"), wanted, F.xxhash64("id", "text_key")).filter("listed").drop("listed")
     whole = map_batches(again, _scan(width, size, True), _row_schema(T.StructField("set", T.BinaryType())))
     full = whole.groupBy("node").agg(F.first("set").alias("set"))
     members = full.join(listed.select("node", "n"), "node").withColumn("owner", F.monotonically_increasing_id())

@@ -11,12 +11,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import counterscope
 from counterscope.session import shared_folder
 
-# A broadcast side is counted first; its rows are a few numbers each.
+# A broadcast side is counted and measured first.
 BROADCAST_LIMIT = 200_000
+BROADCAST_BYTES = 64 << 20
+# A key filter has at most this many bits, 64 MB, however many keys there are.
+FILTER_BITS = 1 << 29
+_WORD_BITS = 1 << 15  # of one bitmap, as bitmap_construct_agg builds it
 
 
 _shipped: set[str] = set()
@@ -66,9 +71,24 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
-def counted_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Mark a staged table for broadcast if it has at most ``limit`` rows; else Spark shuffles, and splits hot keys."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _width(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return 8 + 8 * F.greatest(F.size(column), F.lit(0))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 8 + F.coalesce(F.octet_length(column), F.lit(0))
+    return F.lit(8)
+
+
+def counted_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark a staged table for broadcast if it has at most ``limit`` rows and BROADCAST_BYTES; else Spark shuffles, and splits hot keys."""
+    rows = df.count()
+    if rows > (BROADCAST_LIMIT if limit is None else limit):
+        return df
+    width = sum((_width(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def positioned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -77,28 +97,56 @@ def positioned(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*renamed.values()), renamed
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Column]]:
-    """Positioned rows with their ``row_key``, and what makes a row meet an entry (drop_id, drop_key)."""
+def likely(rows: DataFrame, own: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """Rows with ``listed``: whether their hash ``own`` may be one of the hashes ``key`` of a staged table; no row moves.
+
+    True for every row whose hash is there, and for one in 32 others or fewer up to 16 million keys; from there on in proportion
+    to the keys, as the filter is a bitmap of at most FILTER_BITS, which is broadcast. Of the keys, eight bytes each are shuffled.
+    """
+    bits = min(FILTER_BITS, max(_WORD_BITS, 1 << (32 * keys.count()).bit_length()))
+    spots = keys.select(F.pmod(key, F.lit(bits)).alias("spot"))
+    spots = spots.select(F.floor(F.col("spot") / _WORD_BITS).alias("word"), (F.col("spot") % _WORD_BITS).alias("bit"))
+    # brought together first: a bitmap is 4 KB, however few of its keys a task has
+    words = spots.repartition("word").groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    words = staged(words, "key-filter")
+    held = rows.withColumn("spot", F.pmod(own, F.lit(bits)))
+    held = held.join(F.broadcast(words), F.floor(F.col("spot") / _WORD_BITS) == F.col("word"), "left")
+    bit = F.col("spot") % _WORD_BITS
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    listed = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+    return held.withColumn("listed", listed).drop("spot", "word", "bitmap")
+
+
+def _hits(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame | None, Callable[[str], DataFrame]]:
+    """Positioned rows with their ``row_key`` in two parts: those that no entry (drop_id, drop_key) of ``keys`` can meet, or None
+    if ``keys`` is small enough to be broadcast, and the others, as a function that joins them with ``keys``."""
     rows, renamed = positioned(docs)
     keyed = rows.withColumn("row_key", text_key(renamed["text"]))
-    return keyed, lambda side: keyed[renamed["doc_id"]].eqNullSafe(side["drop_id"]) & (keyed["row_key"] == side["drop_key"])
+    side, apart = counted_broadcast(keys.select("drop_id", "drop_key")), None
+    if keys.count() > BROADCAST_LIMIT:
+        # else whole texts would be shuffled for a join that concerns few of them
+        own = F.xxhash64(F.col(renamed["doc_id"]).cast("long"), F.col("row_key"))
+        told = likely(keyed, own, keys, F.xxhash64(F.col("drop_id").cast("long"), F.col("drop_key")))
+        apart, keyed = told.filter(~F.col("listed")).drop("listed"), told.filter("listed").drop("listed")
+    hit = F.col(renamed["doc_id"]).eqNullSafe(F.col("drop_id")) & (F.col("row_key") == F.col("drop_key"))
+    return apart, lambda how: keyed.join(side, hit, how)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose (doc_id, text) is not in ``dropped`` (drop_id, drop_key); null ids match null ids."""
-    keyed, hit = _keyed(docs)
-    side = counted_broadcast(dropped.select(F.col("drop_id"), F.col("drop_key")))
-    return keyed.join(side, hit(side), "left_anti").drop("row_key").toDF(*docs.columns)
+    """Documents whose (doc_id, text) is not in the staged table ``dropped`` (drop_id, drop_key); null ids match null ids."""
+    apart, joined = _hits(docs, dropped)
+    kept = joined("left_anti")
+    return (kept if apart is None else kept.unionByName(apart)).drop("row_key").toDF(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Keep one of the rows that share (doc_id, text) with an entry of ``repeated`` (drop_id, drop_key)."""
+    """Keep one of the rows that share (doc_id, text) with an entry of the staged table ``repeated`` (drop_id, drop_key)."""
     if repeated.isEmpty():
         return docs
-    keyed, hit = _keyed(docs)
-    side = counted_broadcast(repeated)
-    again = keyed.join(side, hit(side), "left_semi").dropDuplicates([keyed.columns[docs.columns.index("doc_id")], "row_key"])
-    return keyed.join(side, hit(side), "left_anti").unionByName(again).drop("row_key").toDF(*docs.columns)
+    apart, joined = _hits(docs, repeated)
+    again = joined("left_semi").dropDuplicates([f"c{docs.columns.index('doc_id')}", "row_key"])
+    kept = joined("left_anti").unionByName(again)
+    return (kept if apart is None else kept.unionByName(apart)).drop("row_key").toDF(*docs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
