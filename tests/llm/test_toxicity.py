@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,76 @@ def test_denied_and_reported_threats_and_quoted_insults_are_weaker(text, score):
     assert clause_score(text) == pytest.approx(score)
 
 
+@pytest.mark.parametrize(
+    ("text", "score"),
+    [
+        ("not at all an idiot", 2 * 0.4),
+        ("he has not, in any way, been an idiot", 2 * 0.4 * 1.0),
+        ("he has not, in any way. been an idiot", 2.0),
+        ("he did not, idiot", 2.0),
+        ("it was not good but idiot work", 2.0),
+        ("no. idiot", 2.0),
+        ("idiot, you", 2 * 1.3),
+        ("you, idiot", 2 * 1.3),
+        ("idiot that you are", 2 * 1.3),
+        ("you idiot you", 2 * 1.3),
+        ("an idiot, he thought", 2.0),
+        ("it is not you, idiot", 2 * 0.4 * 1.3),
+        ("idiot x x you", 2.0),
+        ("I will murder you", 3.0),
+        ("I'll stab you", 3.0),
+    ],
+)
+def test_negation_reaches_to_the_end_and_the_addressed_may_stand_on_both_sides(text, score):
+    assert clause_score(text) == pytest.approx(score)
+
+
+def test_commas_between_texts_join_nothing():
+    ev = LEXICON.evidence(pa.array(["he did not,", "ever, idiot", "you,", "idiot", "not,"]))
+    assert ev[:, 0].tolist() == pytest.approx([0, 2, 0, 2, 0])
+
+
+def test_a_threat_has_the_weight_of_its_verb():
+    lexicon = t.Lexicon({"idiot": 2.0}, {"flog": 5.0, "beat": 0.7})
+    found = lexicon.evidence(pa.array(["I flog you", "we beat them", "we never beat or flog you", "they beat it", "I kill you"]))[:, 0]
+    assert found.tolist() == pytest.approx([5.0, 0.7, 5 * 0.4, 0, 0])
+
+
+def plain_frames(rows, least):
+    """Threat verbs by plain counting."""
+    grammatical = {w for kind, words in t.WORDS.items() if kind not in (t.INSULT, t.THREAT) for w in words.split()}
+    targets = set((t.WORDS[t.TARGET] + " " + t.WORDS[t.YOU]).split())
+    bad, good, toxic = Counter(), Counter(), sum(label for _, label in rows)
+    clean, rate = len(rows) - toxic, toxic / len(rows)
+    for text, label in rows:
+        words = text.lower().split()
+        (bad if label else good).update({a for a, b in zip(words, words[1:]) if b in targets and a not in grammatical})
+    found = dict.fromkeys(t.WORDS[t.THREAT].split(), t.MENACE_WEIGHT)
+    for verb in {*bad, *good}:
+        a, b = bad[verb], good[verb]
+        share = (a + 0.001) / (a + b + 0.002)
+        ratio = 2 * (a * math.log(share / rate) + b * math.log((1 - share) / (1 - rate)))
+        odds = math.log(((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1)))
+        if (ratio >= least and share > 0.5) or (verb in found and a + b >= 10):
+            found[verb] = min(t.MOST_WEIGHT, odds)
+    return {verb: weight for verb, weight in found.items() if weight > 0.5}
+
+
+def test_threats_are_learnt_from_what_stands_before_targets(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        words, toxic = prose(rnd, 40), i % 6 == 0
+        at = rnd.randrange(40)
+        words[at:at] = [rnd.choice(["flog", "maim"]) if toxic else rnd.choice(["thank", "beat"]), rnd.choice(["You", "them"])]
+        words.append(rnd.choice(["flog", "thank"]))  # the verb alone tells nothing
+        rows.append((" ".join(words), int(toxic)))
+    sample = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, label int")
+    got, want = t.train(sample).lexicon.threats, plain_frames(rows, 16.0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {"flog", "maim"} <= got.keys() and not {"thank", "beat"} & got.keys()
+
+
 def test_speech_does_not_reach_into_the_next_text():
     assert LEXICON.evidence(pa.array(["he said:", '"idiot"']))[:, 0].tolist() == [0.0, 2.0]
 
